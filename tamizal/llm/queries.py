@@ -5,23 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tamizal.session import table
 
 from .capping import capped_hits
 from .components import alias_groups
+from .incremental import registry_repeats
+from .survivors import survivors
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return alias_groups(table(spark, d, "alias_claims"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return survivors(table(spark, d, "canonical_entities")).select("record_id")
+
+
+def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """The whole surviving records; arrays as text, so that results compare."""
+    df = survivors(table(spark, d, "canonical_entities"))
+    return df.withColumns({c: F.concat_ws("|", c) for c in ("types", "extractor_ids")})
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return registry_repeats(table(spark, d, "ingest_registry"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return capped_hits(table(spark, d, "hits"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p4_found": p4_found, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
