@@ -12,6 +12,7 @@ from tamizal.session import table
 from .capping import capped_hits
 from .components import alias_groups
 from .incremental import registry_repeats
+from .names import typed_names, variant_pairs
 from .survivors import survivors
 
 
@@ -33,12 +34,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return registry_repeats(table(spark, d, "ingest_registry"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return variant_pairs(typed_names(table(spark, d, "alias_claims"), table(spark, d, "entity_claims")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return capped_hits(table(spark, d, "hits"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p4_found": p4_found, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
