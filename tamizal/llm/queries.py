@@ -12,6 +12,7 @@ from tamizal.session import table
 from .capping import capped_hits
 from .components import alias_groups
 from .incremental import registry_repeats
+from .leaks import leaks
 from .names import typed_names, variant_pairs
 from .survivors import survivors
 
@@ -42,8 +43,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return capped_hits(table(spark, d, "hits"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_questions"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
