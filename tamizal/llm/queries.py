@@ -14,6 +14,7 @@ from .components import alias_groups
 from .incremental import registry_repeats
 from .leaks import leaks
 from .names import typed_names, variant_pairs
+from .residue import residue
 from .survivors import survivors
 
 
@@ -47,8 +48,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_questions"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue(table(spark, d, "documents")).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
