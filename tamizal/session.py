@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once per application, so that they can import it wherever they run."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_tamizal_shipped", False):
+        home = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/tamizal_code", "zip", home.parent, home.name)
+        sc.addPyFile(archive)
+        sc._tamizal_shipped = True
+
+
 class Scratch:
     """Parquet tables in the shared checkpoint folder.
 
@@ -48,6 +60,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str = "t"):
+        ship_package(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tamizal-{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
