@@ -15,6 +15,7 @@ from .incremental import registry_repeats
 from .leaks import leaks
 from .names import typed_names, variant_pairs
 from .residue import residue
+from .scans import flaws
 from .survivors import survivors
 
 
@@ -32,6 +33,10 @@ def p2_survivors(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumns({c: F.concat_ws("|", c) for c in ("types", "extractor_ids")})
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return flaws(table(spark, d, "extracted_texts"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return registry_repeats(table(spark, d, "ingest_registry"))
 
@@ -53,7 +58,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
