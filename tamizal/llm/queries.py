@@ -13,6 +13,7 @@ from .capping import capped_hits
 from .components import alias_groups
 from .incremental import registry_repeats
 from .leaks import leaks
+from .mixing import mix
 from .names import typed_names, variant_pairs
 from .residue import residue
 from .scans import flaws
@@ -53,12 +54,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_questions"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue(table(spark, d, "documents")).select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_mix": p8_mix, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
