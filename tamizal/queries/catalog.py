@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import ranking
+
 FLAGSHIP = "r_hybrid"
 
-_MODULES: tuple = ()
+_MODULES: tuple = (ranking,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
