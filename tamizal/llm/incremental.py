@@ -9,6 +9,7 @@ representatives, so only clusters that a batch touches get a new representative.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ from .components import link, rank_of
 # File extensions, and words of place that one slip must never turn into each other.
 EXTENSIONS = "pdf|txt|docx?|xlsx?|pptx?|html?|csv|md|rtf|odt|tiff?|jpe?g|png|zip"
 PLACES = ("norte", "sur", "este", "oeste", "north", "south", "east", "west", "noreste", "noroeste", "sureste", "suroeste", "centro")
-EMPTY_HASH = F.sha2(F.lit("").cast("binary"), 256)
+EMPTY_HASH = hashlib.sha256(b"").hexdigest()
 
 
 def name_tokens(filename: Column) -> Column:
