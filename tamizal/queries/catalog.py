@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ranking
+from . import ranking, retrieval
 
 FLAGSHIP = "r_hybrid"
 
-_MODULES: tuple = (ranking,)
+_MODULES: tuple = (ranking, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
