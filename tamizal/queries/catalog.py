@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ranking, retrieval
+from . import knowledge, ranking, retrieval
 
 FLAGSHIP = "r_hybrid"
 
-_MODULES: tuple = (ranking, retrieval)
+_MODULES: tuple = (ranking, retrieval, knowledge)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
