@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knowledge, ranking, retrieval
+from . import evaluation, knowledge, metrics, ranking, retrieval
 
 FLAGSHIP = "r_hybrid"
 
-_MODULES: tuple = (ranking, retrieval, knowledge)
+_MODULES: tuple = (ranking, retrieval, knowledge, evaluation, metrics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
