@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamizal.session import Scratch, size_of
 
 #: Bytes of parquet up to which a kept table may be broadcast; beyond it joins shuffle.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 1 << 20
 
 
 def maybe_broadcast(kept: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
