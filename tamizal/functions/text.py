@@ -39,7 +39,7 @@ def squeeze(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Trimmed, lower case, without accents, single spaces. Null stays null."""
-    return squeeze(strip_accents(F.lower(strip_accents(c))))
+    return squeeze(strip_accents(F.lower(c)))
 
 
 def slug(c: Column, default: str = "unknown") -> Column:
