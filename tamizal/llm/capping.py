@@ -77,13 +77,17 @@ def cap(records: DataFrame, keys: list[Column], score: str, row_id: str, limit:
     scratch = Scratch(records.sparkSession, "cap")
     s = F.col(score).cast("double")
     s = F.when(s.isNull() | F.isnan(s), F.lit(float("-inf"))).otherwise(s)
+    named, nth = F.lit(True), F.lit(None).cast("int")
+    for k in keys:
+        named = named & k.isNotNull()
+    for i, arrival in reversed(list(enumerate(batches or [F.lit(True)]))):
+        nth = F.when(arrival, i).otherwise(nth)
+    key = F.when(named, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
+    # names are made once; what follows reads this narrow table
+    rows = scratch.keep(records.select(key.alias("key"), s.alias("score"), F.col(row_id).alias("id"), nth.alias("arrival")).where("key is not null"), "rows")
     state, gone = CapState(), None
-    for arrival in batches or [F.lit(True)]:
-        named = F.lit(True)
-        for k in keys:
-            named = named & k.isNotNull()
-        batch = records.where(arrival).select(F.when(named, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])).alias("key"), s.alias("score"), F.col(row_id).alias("id"))
-        state, out = apply_batch(scratch, state, batch, limit)
+    for i in range(len(batches or [1])):
+        state, out = apply_batch(scratch, state, rows.where(F.col("arrival") == i).drop("arrival"), limit)
         gone = out if gone is None else gone.unionByName(out)
     return gone
 
