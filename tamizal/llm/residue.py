@@ -95,9 +95,14 @@ def segments(text: Column) -> Column:
     return F.filter(F.transform(cut, squeeze), lambda x: F.length(x) > 0)
 
 
+def may_have_slot(segment: Column) -> Column:
+    """A cheap test that every segment with a slot passes."""
+    return segment.rlike(r"[$<\[@«#%(_{]") | F.lower(segment).rlike(r"xxx|\.{5}|tb[dc]|to be |complet|defini|confirm|rellen|fill in")
+
+
 def masked(segment: Column) -> Column:
     """A segment with slots and numbers masked, lower case, without accents and outer marks."""
-    s = F.regexp_replace(segment, SLOT, " <slot> ")
+    s = F.when(may_have_slot(segment), F.regexp_replace(segment, SLOT, " <slot> ")).otherwise(segment)
     s = F.regexp_replace(s, r"\S*\d\S*", "<num>")
     return F.regexp_replace(squeeze(F.lower(strip_accents(s))), r"^[-•*·>\s]+", "")
 
@@ -123,8 +128,10 @@ def classify(template: Column) -> Column:
     plain = F.regexp_replace(template, r"[^\p{L}\p{N}<>* ]", "")
     lorem = F.size(F.filter(F.split(plain, " "), lambda w: w.isin(*LOREM)))
     opens = lambda cues: template.rlike(_START + f"(?:{cues})")
+    words = F.split(plain, " +")
+    monotone = (F.size(F.array_distinct(words)) * 2 <= F.size(words)) & (F.size(words) >= 5)
     return (
-        F.when(((lorem >= 3) & (lorem * 2 >= n)) | plain.rlike(REPEATED), "filler")
+        F.when(((lorem >= 3) & (lorem * 2 >= n)) | (monotone & plain.rlike(REPEATED)), "filler")
         .when((n <= 16) & opens(FILLER), "filler")
         .when((n <= 16) & opens(NOTICES), "notice")
         .when((n <= 18) & opens(ERRORS), "error")
@@ -157,9 +164,9 @@ def residue(documents: DataFrame, outline_least: int = 3) -> DataFrame:
     """
     scratch = Scratch(documents.sparkSession, "residue")
     parts = documents.where("text is not null").select("doc_id", F.explode(segments(F.col("text"))).alias("segment"))
-    parts = scratch.keep(parts.select("doc_id", masked(F.col("segment")).alias("masked"), F.when(F.regexp_like("segment", F.lit(SLOT)), F.col("segment")).alias("slotted")).where("masked <> ''"), "parts")
+    parts = scratch.keep(parts.select("doc_id", masked(F.col("segment")).alias("masked"), F.when(may_have_slot(F.col("segment")) & F.regexp_like("segment", F.lit(SLOT)), F.col("segment")).alias("slotted")).where("masked <> ''"), "parts")
     templates = mine_templates(scratch, parts)
-    kinds = templates.select("template").distinct().withColumn("kind", classify(F.col("template")))
+    kinds = scratch.keep(templates.select("template").distinct().withColumn("kind", classify(F.col("template"))), "kinds")
     verdicts = templates.join(kinds.where("kind is not null"), "template").select("masked", "kind")
     verdicts = verdicts.unionByName(open_slots(parts.where("slotted is not null")).select("masked", F.lit("slot").alias("kind")))
     verdicts = scratch.keep(verdicts.groupBy("masked").agg(F.max("kind").alias("kind")), "verdicts")
