@@ -140,8 +140,10 @@ def name_variants(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     lists = weighed.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("at", "t", "w", "short"))).alias("all"))
     lists = lists.join(parsed.where("initial is not null").select("name", "initial"), "name", "left")
     # blocks: the rarest token, and any other that is nearly as rare, with the first letter of the first other token
-    top = F.array_max(F.transform("all", lambda x: x["w"]))
-    keys = F.filter("all", lambda x: (F.length(x["t"]) > 1) & (x["w"] >= 0.6 * top))
+    full = F.filter("all", lambda x: ~x["short"])
+    full = F.when(F.size(full) > 0, full).otherwise(F.filter("all", lambda x: F.length(x["t"]) > 1))
+    top = F.array_max(F.transform(full, lambda x: x["w"]))
+    keys = F.filter(full, lambda x: x["w"] >= 0.6 * top)
 
     def rest_of(k):
         rest = F.filter("all", lambda x: x["at"] != k["at"])
