@@ -66,5 +66,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_mix": p8_mix, "p9_found": p9_found}
 
 
+_FOLD = r"trim(regexp_replace(lower(strip_accents(%s)), '[\s\x{1c}-\x{1f}\x{85}\pZ]+', ' ', 'g'))"
+
+_P2 = r"""WITH r AS (SELECT record_id, regexp_replace(lower(strip_accents(canonical_name)), '[\pP\pZ\p{Cc}\p{Cf}\s]+', '', 'g') AS key,
+CASE WHEN confidence IS NOT NULL AND NOT isnan(confidence) AND confidence BETWEEN 0 AND 1 THEN confidence ELSE -1 END AS c,
+len(list_distinct(list_filter(list_transform(extractor_ids, lambda x: lower(trim(x))), lambda x: x IS NOT NULL AND x <> ''))) AS e, built_at FROM canonical_entities),
+g AS (SELECT *, count(*) OVER (PARTITION BY key) AS n, row_number() OVER (PARTITION BY key ORDER BY c DESC, coalesce(e, 0) DESC, built_at DESC NULLS LAST, record_id) AS place FROM r WHERE key <> '')
+SELECT record_id FROM g WHERE n > 1 AND place = 1"""
+
+_P6 = (
+    r"WITH h AS (SELECT hit_id, run_id, CASE WHEN isnan(final_score) THEN NULL ELSE final_score END AS s, trim(regexp_replace(regexp_replace("
+    + _FOLD % "replace(source, '_', ' ')"
+    + r", '^.*[/\\]', ''), '\.[a-z][a-z0-9]{0,4}$', '')) AS f FROM hits) "
+    "SELECT hit_id FROM (SELECT hit_id, row_number() OVER (PARTITION BY run_id, f ORDER BY s DESC NULLS LAST, hit_id) AS place FROM h WHERE f <> '') WHERE place > 20"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": _P2, "p6_found": _P6}
