@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, evaluation, knowledge, metrics, ranking, retrieval
+from . import documents, evaluation, knowledge, language, metrics, ranking, retrieval
 
 FLAGSHIP = "r_hybrid"
 
-_MODULES: tuple = (ranking, retrieval, knowledge, evaluation, metrics, documents)
+_MODULES: tuple = (ranking, retrieval, knowledge, evaluation, metrics, documents, language)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

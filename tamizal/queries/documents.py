@@ -136,6 +136,8 @@ for _r, _d in (("viii", "8"), ("vii", "7"), ("iii", "3"), ("ii", "2"), ("iv", "4
 _ATTR = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{n}' END" for n, p in T.ATTRIBUTES.items()) + "], lambda x: x IS NOT NULL)"
 _ROM = lambda c: f"regexp_extract(upper({c}), '(?:^|[^A-Z])((?:IX|IV|V?I{{1,3}}|V|X))(?:[^A-Z]|$)', 1)"
 
+_STEM = r"regexp_replace(coalesce(title, ''), '\.[^.]*$', '')"
+
 SQL = {
     "t_normalize": f"SELECT claim_id, {_FOLD % 'alias'} AS alias, {_FOLD % 'canonical_name'} AS canonical FROM alias_claims",
     "t_slug": f"SELECT claim_id, CASE WHEN coalesce({_SLUG % 'canonical_name'}, '') = '' THEN 'unknown' ELSE {_SLUG % 'canonical_name'} END AS slug FROM alias_claims",
@@ -156,7 +158,7 @@ u AS (SELECT claim_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS n
     "c_ood": f"SELECT doc_id, coalesce(list_has_any({_WL}, {_L(T.FOREIGN)}) AND NOT list_has_any({_WL}, {_L(T.DOMAIN)}), false) AS ood FROM documents",
     "c_plan": f"SELECT doc_id, CASE WHEN regexp_matches({_FOLD % 'text'}, '{T.INTENTS['count']}') THEN 0.4::DOUBLE WHEN regexp_matches({_FOLD % 'text'}, '{T.INTENTS['procedure']}') THEN 0.5::DOUBLE WHEN regexp_matches({_FOLD % 'text'}, '{T.INTENTS['definition']}') THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS weight FROM documents",
     "c_docref": rf"SELECT hit_id, regexp_extract({_FOLD % 'coalesce(source, chr(32))'}, '(?:pagina|page|pag|p)\.? ([0-9]{{1,4}})', 1) AS page, regexp_extract({_FOLD % 'coalesce(source, chr(32))'}, '(?:anexo|annex) ([a-z])(?:[^a-z]|$)', 1) AS annex FROM hits",
-    "d_cards": rf"""WITH d AS (SELECT *, substr(regexp_split_to_array(coalesce(text, ''), '\n\n+')[1], 1, 800) AS f, {_SLUG % "regexp_replace(coalesce(title, ''), '\.[^.]*$', '')"} AS sl FROM documents) SELECT doc_id, 'doc:' || CASE WHEN sl = '' THEN 'unknown' ELSE sl END AS card_id, {_ROLE} AS role,
+    "d_cards": rf"""WITH d AS (SELECT *, substr(regexp_split_to_array(coalesce(text, ''), '\n\n+')[1], 1, 800) AS f, {_SLUG % _STEM} AS sl FROM documents) SELECT doc_id, 'doc:' || CASE WHEN sl = '' THEN 'unknown' ELSE sl END AS card_id, {_ROLE} AS role,
 round(least(1.0::DOUBLE, 0.1::DOUBLE + CASE WHEN {_HITS_IN(_FOLD % "coalesce(title, '')")} > 0 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END + least(0.3::DOUBLE, 0.05::DOUBLE * {_HITS_IN("lower(coalesce(text, ''))")})), 6) AS centrality, array_to_string({_ATTR}, '|') AS attributes, CAST(length(f) AS INT) AS first_chars, substr(f, 1, 40) AS summary FROM d""",
     "d_role": f"SELECT {_ROLE} AS role, count(*) AS n FROM documents GROUP BY 1",
     "d_attrs": f"SELECT attribute, count(*) AS n FROM (SELECT unnest({_ATTR}) AS attribute FROM documents WHERE text IS NOT NULL) GROUP BY 1",
