@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamizal.session import small
+
 from .ranking import SEARCH, number, ranked, search
 
 
@@ -18,7 +20,7 @@ def entity_filter(hits: DataFrame, entities: DataFrame, least: int = 1) -> DataF
     entities: query_id, entities. A compound of three words or more counts three and boosts by one, a simple
     name counts one and boosts by 0.3.
     """
-    m = hits.join(F.broadcast(entities), "query_id")
+    m = hits.join(small(entities), "query_id")
     words = lambda e: F.size(F.split(F.trim(e), r"\s+"))
     found = F.filter("entities", lambda e: F.contains(_text(), F.lower(e)))
     matches = F.aggregate(found, F.lit(0), lambda s, e: s + F.when(words(e) >= 3, 3).otherwise(1))
@@ -49,14 +51,14 @@ def role_boost(hits: DataFrame, cards: DataFrame, preferred: list[str], bonus: f
 
 def mention_boost(hits: DataFrame, entities: DataFrame, up: float = 0.2, down: float = 0.35) -> DataFrame:
     """Hits of questions with entities, up if the text mentions one, down if not."""
-    m = hits.join(F.broadcast(entities.where("size(entities) > 0")), "query_id")
+    m = hits.join(small(entities.where("size(entities) > 0")), "query_id")
     mentions = F.exists("entities", lambda e: F.contains(_text(), F.lower(e)))
     return m.withColumn("boosted", F.coalesce(number("final_score"), F.lit(0.0)) + F.when(mentions, up).otherwise(-down))
 
 
 def exact_boost(hits: DataFrame, entities: DataFrame, up: float = 0.6, conflict: float = 0.5) -> DataFrame:
     """Hits whose source holds an entity exactly go up; a source with another roman numeral than the entity goes down."""
-    m = hits.join(F.broadcast(entities.where("size(entities) > 0")), "query_id")
+    m = hits.join(small(entities.where("size(entities) > 0")), "query_id")
     src = F.lower(F.coalesce("source", F.lit("")))
     exact = F.exists("entities", lambda e: F.contains(src, F.lower(e)))
     roman = lambda c: F.regexp_extract(F.upper(c), r"(?:^|[^A-Z])((?:IX|IV|V?I{1,3}|V|X))(?:[^A-Z]|$)", 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamizal.functions.text import fold
+from tamizal.session import small
 
 from .ranking import SEARCH, number, ranked
 
@@ -30,7 +31,7 @@ def relevance(hits: DataFrame, questions: DataFrame, tolerance: int = 2, score:
         "query_id", "nth", stem(F.col("name")).alias("stem"), F.try_element_at("expected_pages", F.col("nth") + 1).alias("pages")
     )
     placed = ranked(hits, score).select(*SEARCH, "hit_id", "rank", "page", stem(F.col("source")).alias("stem"))
-    met = placed.join(F.broadcast(wanted), ["query_id", "stem"])
+    met = placed.join(small(wanted), ["query_id", "stem"])
     close = F.exists("pages", lambda p: F.abs(p - F.col("page")) <= tolerance)
     return met.withColumn("page_hit", F.when(F.col("pages").isNull(), None).when(F.size("pages") == 0, True).otherwise(F.coalesce(close, F.lit(False))))
 
@@ -44,7 +45,7 @@ def retrieval_metrics(hits: DataFrame, questions: DataFrame, k: int = 5, score:
         F.countDistinct(F.when(F.col("rank") <= k, F.col("rank"))).alias("relevant"),
         F.max(F.coalesce(F.col("page_hit"), F.lit(False)).cast("int")).alias("page_hit"),
     )
-    searches = hits.select(*SEARCH).distinct().join(F.broadcast(questions.where("is_answerable and size(expected_sources) > 0").select("query_id", F.size("expected_sources").alias("expected"))), "query_id")
+    searches = hits.select(*SEARCH).distinct().join(small(questions.where("is_answerable and size(expected_sources) > 0").select("query_id", F.size("expected_sources").alias("expected"))), "query_id")
     out = searches.join(per, list(SEARCH), "left")
     return out.select(
         *SEARCH, F.coalesce((F.col("first_rank") <= k).cast("int"), F.lit(0)).alias("doc_hit"), "first_rank", F.round(F.coalesce(1 / F.col("first_rank"), F.lit(0.0)), 6).alias("mrr"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamizal.functions.text import fold, squeeze, tokens
+from tamizal.session import small
 
 from .knowledge import name_of, usable
 from .ranking import SEARCH, ranked
@@ -28,7 +29,7 @@ def question_type(question: Column) -> Column:
 
 def factual_gate(hits: DataFrame, questions: DataFrame, top: int = 5) -> DataFrame:
     """Per search: the question's type, how many of the first hits hold its literal evidence, and whether any does."""
-    few = ranked(hits).where(F.col("rank") <= top).join(F.broadcast(questions.select("query_id", question_type(F.col("question")).alias("type"))), "query_id")
+    few = ranked(hits).where(F.col("rank") <= top).join(small(questions.select("query_id", question_type(F.col("question")).alias("type"))), "query_id")
     text, has = fold(F.coalesce("text", F.lit(""))), F.lit(True)
     for name, pattern in EVIDENCE.items():
         has = F.when(F.col("type") == name, F.rlike(text, F.lit(pattern))).otherwise(has)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamizal.session import small
+
 SEARCH = ("run_id", "query_id")
 
 
@@ -125,7 +127,7 @@ def neighbour_pages(hits: DataFrame, top: int = 10, per_source: int = 4) -> Data
 def ensure_source(hits: DataFrame, wanted: DataFrame, limit: int = 2, top: int = 10, score: float = 0.85) -> DataFrame:
     """Hits of a wanted source (canonical_doc_id) put in front of searches whose first ``top`` lack it, with a fixed score."""
     placed = ranked(hits)
-    mine = placed.join(F.broadcast(wanted), "canonical_doc_id", "left_semi")
+    mine = placed.join(small(wanted), "canonical_doc_id", "left_semi")
     present = mine.where(F.col("rank") <= top).select(*SEARCH).distinct()
     missing = mine.join(present, list(SEARCH), "left_anti")
     w = search(F.asc("rank"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamizal.functions.text import tokens
+from tamizal.session import small
 
 # Words that carry no meaning in questions.
 STOPWORDS = (
@@ -41,15 +42,15 @@ def bm25(chunks: DataFrame, questions: DataFrame, top: int = 80, k1: float = 1.5
     asked = questions.select("query_id", F.explode(F.array_distinct(content_tokens(F.col("text")))).alias("token"))
     words = asked.select("token").distinct()
     sized = chunks.select("doc_id", content_tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("len", F.size("tokens"))
-    postings = sized.select("doc_id", "len", F.explode("tokens").alias("token")).join(F.broadcast(words), "token", "left_semi")
+    postings = sized.select("doc_id", "len", F.explode("tokens").alias("token")).join(small(words), "token", "left_semi")
     postings = postings.groupBy("doc_id", "len", "token").agg(F.count("*").alias("tf"))
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
     stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     idf = F.greatest(F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5), F.lit(0.01))
-    weights = df.crossJoin(F.broadcast(stats)).select("token", idf.alias("idf"), "avg_len")  # one row of statistics
-    weighed = postings.join(F.broadcast(weights), "token")
+    weights = df.crossJoin(small(stats)).select("token", idf.alias("idf"), "avg_len")  # one row of statistics
+    weighed = postings.join(small(weights), "token")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scores = weighed.select("doc_id", "token", part.alias("part")).join(F.broadcast(asked), "token")
+    scores = weighed.select("doc_id", "token", part.alias("part")).join(small(asked), "token")
     scores = scores.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("bm25"))
     w = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "doc_id")
     return scores.withColumn("bm25_rank", F.row_number().over(w)).where(F.col("bm25_rank") <= top)
@@ -109,6 +110,6 @@ def compare_entities(chunks: DataFrame, questions: DataFrame, per_entity: int =
     questions: query_id, entities (array). Chunks are matched by their words, so that the join is one of equality.
     """
     wanted = questions.where(F.size("entities") >= 2).select("query_id", F.explode(F.array_distinct("entities")).alias("entity")).withColumn("token", F.lower("entity"))
-    found = chunks.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).join(F.broadcast(wanted), "token")
+    found = chunks.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).join(small(wanted), "token")
     w = Window.partitionBy("query_id", "entity").orderBy("doc_id")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_entity).select("query_id", "entity", "doc_id", "place")

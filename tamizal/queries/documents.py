@@ -9,7 +9,7 @@ from tamizal.operators import boosting as B
 from tamizal.operators import documents as T
 from tamizal.operators.knowledge import ROLES, document_role
 from tamizal.operators.ranking import SEARCH
-from tamizal.session import table
+from tamizal.session import small, table
 
 
 def _t(name):
@@ -70,7 +70,7 @@ def d_vendor(s, d):
 
 def x_compare_cover(s, d):
     """Per entity of a question the first hit that mentions it."""
-    m = B.ranked(HITS(s, d)).join(F.broadcast(_entities(s, d)), "query_id").select(*SEARCH, "hit_id", "rank", "text", F.explode("entities").alias("entity"))
+    m = B.ranked(HITS(s, d)).join(small(_entities(s, d)), "query_id").select(*SEARCH, "hit_id", "rank", "text", F.explode("entities").alias("entity"))
     m = m.where(F.contains(F.lower("text"), F.lower("entity")))
     return m.groupBy(*SEARCH, "entity").agg(F.min("rank").alias("rank"), F.count("*").alias("mentions"))
 
@@ -86,7 +86,7 @@ QUERIES = {
     "t_chunks": t_chunks,
     "t_equiv": t_equiv,
     "t_equiv_map": lambda s, d: T.longest_names(ALIASES(s, d)),
-    "t_lex_expand": lambda s, d: ITEMS(s, d).crossJoin(F.broadcast(HITS(s, d).agg(F.max("run_id").alias("runs")))).select("item_id", T.expand_terms(F.col("question"), T.LEXICON).alias("expanded"), "runs"),
+    "t_lex_expand": lambda s, d: ITEMS(s, d).crossJoin(small(HITS(s, d).agg(F.max("run_id").alias("runs")))).select("item_id", T.expand_terms(F.col("question"), T.LEXICON).alias("expanded"), "runs"),
     "t_trigger_expand": lambda s, d: DOCS(s, d).select("doc_id", T.trigger_terms(F.col("text")).alias("terms")),
     "t_norm_query": lambda s, d: ALIASES(s, d).select("claim_id", T.normalize_query(F.col("alias")).alias("alias")),
     "t_entities": lambda s, d: DOCS(s, d).select("doc_id", F.array_join(F.array_sort(T.entities(F.col("text"))), "|").alias("entities")),

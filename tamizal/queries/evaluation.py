@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamizal.functions.text import fold
 from tamizal.operators import evaluation as V
 from tamizal.operators.ranking import SEARCH, number, ranked
-from tamizal.session import table
+from tamizal.session import small, table
 
 
 def _hits(s: SparkSession, d: str) -> DataFrame:
@@ -33,7 +33,7 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
 
 
 def v_summary(s, d):
-    m = _metrics(s, d).join(F.broadcast(_questions(s, d).select("query_id", "category")), "query_id")
+    m = _metrics(s, d).join(small(_questions(s, d).select("query_id", "category")), "query_id")
     return m.groupingSets([["category"], []], "category").agg(
         F.count("*").alias("n"), F.round(F.avg("doc_hit"), 6).alias("hit_rate"), F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("page_hit"), 6).alias("page_hit_rate")
     )
@@ -50,7 +50,7 @@ def v_latency(s, d):
 
 def v_keywords(s, d):
     """Share of expected words in the answers, and forbidden ones."""
-    a = _answers(s, d).join(F.broadcast(_questions(s, d).select("query_id", "answer_keywords", "must_not_contain")), "query_id")
+    a = _answers(s, d).join(small(_questions(s, d).select("query_id", "answer_keywords", "must_not_contain")), "query_id")
     text = fold(F.col("answer"))
     has = lambda c: F.size(F.filter(c, lambda k: F.contains(text, fold(k))))
     n = F.size(F.coalesce("answer_keywords", F.array().cast("array<string>")))
@@ -67,7 +67,7 @@ def v_canonical(s, d):
     """Coverage of the expected documents by those found, per search."""
     q = _questions(s, d).select("query_id", F.array_distinct(F.transform("expected_sources", lambda x: V.stem(x))).alias("expected")).where("size(expected) > 0")
     seen = ranked(_hits(s, d)).where("rank <= 10 and source is not null").groupBy(*SEARCH).agg(F.collect_set(V.stem(F.col("source"))).alias("found"))
-    return seen.join(F.broadcast(q), "query_id").select(*SEARCH, F.round(V.coverage(seen, "expected", "found"), 6).alias("coverage"))
+    return seen.join(small(q), "query_id").select(*SEARCH, F.round(V.coverage(seen, "expected", "found"), 6).alias("coverage"))
 
 
 def e_signals(s, d):
@@ -101,7 +101,7 @@ def e_policy(s, d):
 def e_entity_hits(s, d):
     """Hits whose text has a word of the question's expected answer; all hits of a search where none has."""
     q = _questions(s, d).select("query_id", "answer_keywords")
-    m = ranked(_hits(s, d)).join(F.broadcast(q), "query_id")
+    m = ranked(_hits(s, d)).join(small(q), "query_id")
     flag = F.coalesce(F.exists("answer_keywords", lambda k: F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lower(k))), F.lit(False)).cast("int")
     m = m.withColumn("mentions", flag).withColumn("any_mention", F.max("mentions").over(Window.partitionBy(*SEARCH)))
     return m.where("mentions = 1 or any_mention = 0").select(*SEARCH, "hit_id", "mentions")

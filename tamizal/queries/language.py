@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamizal.functions.text import TOKEN
 from tamizal.operators import language as L
 from tamizal.operators.ranking import SEARCH, ranked
-from tamizal.session import table
+from tamizal.session import small, table
 
 
 def _t(name):
@@ -36,12 +36,12 @@ def c_infer_entity(s, d):
     """Documents that name the person or place of a question's keywords."""
     words = ITEMS(s, d).select("item_id", F.explode("answer_keywords").alias("k")).select("item_id", F.lower("k").alias("term")).where(F.col("term").rlike("^[a-z]+$"))
     found = DOCS(s, d).select("doc_id", F.explode(F.array_distinct(L.tokens(F.col("text")))).alias("term"))
-    return found.join(F.broadcast(words), "term").groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
+    return found.join(small(words), "term").groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
 def v_simulation(s, d):
     """Verdict of each search's best hit as an answer: too long, banned words, wrong source, or pass."""
-    best = ranked(HITS(s, d)).where("rank = 1").join(F.broadcast(_questions(s, d).select("query_id", "must_not_contain", "category")), "query_id")
+    best = ranked(HITS(s, d)).where("rank = 1").join(small(_questions(s, d).select("query_id", "must_not_contain", "category")), "query_id")
     text = F.lower(F.coalesce("text", F.lit("")))
     banned = F.coalesce(F.exists("must_not_contain", lambda k: F.contains(text, F.lower(k))), F.lit(False))
     verdict = F.when(F.length(text) > 600, "too long").when(banned, "banned").when(F.col("source").isNull(), "no source").otherwise("pass")
@@ -56,7 +56,7 @@ def cv_enrich(s, d):
 
 QUERIES = {
     "e_factual_gate": lambda s, d: L.factual_gate(HITS(s, d), _questions(s, d)).select(*SEARCH, "type", "evidence", "passes"),
-    "r_pool": lambda s, d: HITS(s, d).select("run_id", "query_id").distinct().join(F.broadcast(_questions(s, d).select("query_id", L.pool_size(F.col("question")).alias("pool"))), "query_id").select("run_id", "query_id", "pool"),
+    "r_pool": lambda s, d: HITS(s, d).select("run_id", "query_id").distinct().join(small(_questions(s, d).select("query_id", L.pool_size(F.col("question")).alias("pool"))), "query_id").select("run_id", "query_id", "pool"),
     "c_filters": lambda s, d: DOCS(s, d).select("doc_id", L.technology(F.concat_ws(" ", "title", "text")).alias("technology")),
     "p_clean": lambda s, d: HITS(s, d).where("text is not null").select("hit_id", F.md5(L.clean_answer(F.col("text"))).alias("md5")),
     "t_glossary": t_glossary,

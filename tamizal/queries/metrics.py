@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tamizal.operators import metrics as M
-from tamizal.session import shared_dir, table
+from tamizal.session import shared_dir, small, table
 from tamizal.streaming import streams as ST
 
 
@@ -19,7 +19,7 @@ def _ev(s, d):
 def m_window(s, d):
     e = _ev(s, d)
     last = e.agg(F.max("ts").alias("as_of"))
-    return M.trailing_window(e.crossJoin(F.broadcast(last)), F.col("as_of")).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return M.trailing_window(e.crossJoin(small(last)), F.col("as_of")).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 def m_query_event(s, d):
@@ -38,7 +38,7 @@ def m_llm(s, d):
 
 def h_count(s, d):
     n, c, o = (table(s, d, t) for t in ("nation", "customer", "orders"))
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(small(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("n"))
 
 
 def h_pivot_search(s, d):
@@ -71,7 +71,7 @@ def s_corpus_excl(s, d):
     """Documents of sources that are not excluded; the exclusions are the sources with the fewest documents."""
     docs = table(s, d, "documents").withColumn("src", F.lower(F.trim("source")))
     few = docs.where("src is not null").groupBy("src").count().where("count < 20").select("src")
-    return docs.join(F.broadcast(few), "src", "left_anti").select("doc_id", "src")
+    return docs.join(small(few), "src", "left_anti").select("doc_id", "src")
 
 
 QUERIES = {

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamizal.operators import ranking as R
-from tamizal.session import table
+from tamizal.session import small, table
 
 IDS = ["run_id", "query_id", "hit_id"]
 
@@ -45,7 +45,7 @@ QUERIES = {
     "r_merge": lambda s, d: R.first_per_page(_hits(s, d)).select(*IDS, "rank"),
     "r_scope_soft": lambda s, d: R.soft_scope(_hits(s, d), _in_scope()).select(*IDS, "inside", "any_inside"),
     "r_scope_guard": lambda s, d: R.guarded_scope(_hits(s, d), _in_scope()).select(*IDS, "applies", "inside"),
-    "r_scoped": lambda s, d: _hits(s, d).join(F.broadcast(_wanted(s, d)), "canonical_doc_id", "left_semi").select(*IDS, "canonical_doc_id"),
+    "r_scoped": lambda s, d: _hits(s, d).join(small(_wanted(s, d)), "canonical_doc_id", "left_semi").select(*IDS, "canonical_doc_id"),
     "r_neighbors": lambda s, d: R.neighbour_pages(_hits(s, d)).select("run_id", "query_id", "source", "page", "of_rank", "nth"),
     "r_ensure": lambda s, d: R.ensure_source(_hits(s, d), _wanted(s, d)).select(*IDS, "nth", "forced_score"),
     "r_pair_sim": lambda s, d: R.similar_pairs(_hits(s, d)).select("run_id", "query_id", "first_id", "second_id", _r6("jaccard")),

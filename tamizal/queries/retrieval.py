@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamizal.functions.text import TOKEN
 from tamizal.operators import retrieval as R
-from tamizal.session import table
+from tamizal.session import small, table
 
 
 def _questions(s: SparkSession, d: str) -> DataFrame:
@@ -25,7 +25,7 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
 def _semantic(s: SparkSession, d: str) -> DataFrame:
     """Question vectors are the vectors of the questions' ids, document vectors those of the documents' ids."""
     v = _vectors(s, d)
-    asked = v.join(F.broadcast(_questions(s, d).select(F.col("query_id").alias("id"))), "id", "left_semi")
+    asked = v.join(small(_questions(s, d).select(F.col("query_id").alias("id"))), "id", "left_semi")
     docs = v.join(table(s, d, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
     return R.cosine_top(docs, asked)
 

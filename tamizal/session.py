@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
+import io
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle: int = 8, name: str = "tamizal") -> SparkSession:
@@ -43,13 +45,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the Python workers once per application, so that they can import it wherever they run."""
+    """Sends this package to the Python workers once per application, by way of the shared folder."""
     sc = spark.sparkContext
-    if not getattr(sc, "_tamizal_shipped", False):
-        home = Path(__file__).resolve().parent
-        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/tamizal_code", "zip", home.parent, home.name)
-        sc.addPyFile(archive)
-        sc._tamizal_shipped = True
+    if getattr(sc, "_tamizal_shipped", False):
+        return
+    home, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(home.rglob("*.py")):
+            archive.write(path, str(path.relative_to(home.parent)))
+    where = f"{shared_dir(spark)}/tamizal-code-{uuid.uuid4().hex[:12]}.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(where)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(where)
+    sc._tamizal_shipped = True
 
 
 class Scratch:
@@ -85,3 +95,8 @@ class Scratch:
 def size_of(df: DataFrame) -> int:
     """Bytes of a kept table as Spark's own statistics have them: the size of its files, or of the columns read."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
+    """The table with a broadcast hint if Spark's statistics (file sizes, carried through the plan) put it within ``limit`` bytes; else as it is, so that the join shuffles."""
+    return F.broadcast(df) if size_of(df) <= limit else df
