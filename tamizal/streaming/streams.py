@@ -6,7 +6,7 @@ checkpoint the next time. State and output live in the folder the caller names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,20 @@ def run_ingest(spark: SparkSession, path: str, home: str) -> DataFrame:
 
     stream_of(spark, path).writeStream.foreachBatch(store).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{home}/taken").select("h", "entry_id")
+
+
+def run_tail(spark: SparkSession, path: str, home: str, n: int = 50) -> DataFrame:
+    """(event_type, event_id): the last ``n`` events of each type, kept as bounded state from batch to batch."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        rows = batch.select("event_type", "event_id", "ts")
+        before = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/tail/batch={number - 1}")
+        if number and before.getFileSystem(spark._jsc.hadoopConfiguration()).exists(before):
+            rows = rows.unionByName(spark.read.parquet(f"{home}/tail/batch={number - 1}"))
+        w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
+        rows.withColumn("age", F.row_number().over(w)).where(F.col("age") <= n).drop("age").write.mode("overwrite").parquet(f"{home}/tail/batch={number}")
+        spark.createDataFrame([(number,)], "last long").coalesce(1).write.mode("overwrite").parquet(f"{home}/last")
+
+    stream_of(spark, path).writeStream.foreachBatch(store).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{home}/last").first()[0]
+    return spark.read.parquet(f"{home}/tail/batch={last}").select("event_type", "event_id")
