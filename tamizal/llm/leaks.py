@@ -2,9 +2,9 @@
 
 Documents and items meet through shared seeds (hashed word triples); pairs whose seeds could make a leak are
 verified by greedy string tiling: the longest common word runs, found by running Karp-Rabin hashes, are marked
-first and never overlap. A leak is decided by the share of the item's weight that tiles cover, over the whole
-question or any 20 consecutive words of the passage, inside a stretch of the document not much longer. Tiles
-may be reordered inside that stretch.
+first and never overlap; single words between two changes are put in afterwards. A leak is decided by the number
+of the item's words found, over the whole question or any 20 consecutive words of the passage, inside a stretch
+of the document not much longer; rarity only tells look-alikes. Tiles may be reordered inside that stretch.
 """
 
 from __future__ import annotations
@@ -101,36 +101,91 @@ def _mend(word: str, known: set[str], near: dict[str, str]) -> str:
     return word
 
 
-def cover(item: list[str], weights: list[float], doc: list[str], whole: bool, slack: float = 1.3) -> float:
-    """Largest share of weight that tiles cover, of the item (``whole``) or any WINDOW words of it, within one stretch of ``doc``."""
+def allowed(n: int) -> int:
+    """How many of ``n`` words may be changed or missing: about one in ten, none of very few."""
+    return -(-n // 10) if n >= 7 else 0
+
+
+def align(item: list[str], doc: list[str]) -> tuple[list[str], list[int]]:
+    """``doc`` with slips mended, and for each word of ``item`` its place there or -1: tiles, then single words left between them."""
     known, near = set(item), _near(item)
     doc = [_mend(w, known, near) for w in doc]
-    size = len(item) if whole else min(WINDOW, len(item))
-    there, best = set(doc), 0.0
-    starts = range(len(item) - size + 1)
-    bound = max(sum(w for t, w in zip(item[s : s + size], weights[s : s + size]) if t in there) / sum(weights[s : s + size]) for s in starts)
-    if bound < 0.8:
-        return bound
     ids = {t: k + 1 for k, t in enumerate(dict.fromkeys(item))}
     place = tile([ids[t] for t in item], [ids.get(t, 0) or len(ids) + 1 + j for j, t in enumerate(doc)])
+    free, x = set(range(len(doc))) - set(place), 0
+    while x < len(item):
+        y = x
+        while y < len(item) and place[y] < 0:
+            y += 1
+        if x < y and y - x < len(item):
+            room = y - x + allowed(WINDOW)
+            low = place[x - 1] + 1 if x else max(0, place[y] - room)
+            high = place[y] if y < len(item) else min(len(doc), low + room)
+            gap = [j for j in range(low, high) if j in free] if high - low <= 2 * room else []
+            _fill(item, doc, place, range(x, y), gap)
+        x = y + 1
+    return doc, place
+
+
+def _fill(item: list[str], doc: list[str], place: list[int], at: range, gap: list[int]) -> None:
+    """Puts words of a gap to the places of their longest common subsequence."""
+    best = [[0] * (len(gap) + 1) for _ in range(len(at) + 1)]
+    for u in range(len(at) - 1, -1, -1):
+        for v in range(len(gap) - 1, -1, -1):
+            best[u][v] = best[u + 1][v + 1] + 1 if item[at[u]] == doc[gap[v]] else max(best[u + 1][v], best[u][v + 1])
+    u = v = 0
+    while u < len(at) and v < len(gap):
+        if item[at[u]] == doc[gap[v]]:
+            place[at[u]] = gap[v]
+            u, v = u + 1, v + 1
+        elif best[u + 1][v] >= best[u][v + 1]:
+            u += 1
+        else:
+            v += 1
+
+
+def renumbered(item: list[str], doc: list[str], place: list[int], start: int, stop: int) -> bool:
+    """Whether another number stands where the item has one, between words that match: the mark of a look-alike."""
+    at = [x for x in range(max(start, 0), min(stop, len(item))) if place[x] >= 0]
+    for x, y in zip(at, at[1:]):
+        if 1 < y - x <= 4 and place[y] - place[x] == y - x:
+            if any(item[x + k].isdigit() and doc[place[x] + k].isdigit() for k in range(1, y - x)):
+                return True
+    return False
+
+
+def holds(item: list[str], weights: list[float], doc: list[str], whole: bool, threshold: float = 0.87, slack: float = 1.3) -> bool:
+    """Whether one stretch of ``doc`` holds the item (``whole``) or any WINDOW words of it.
+
+    All words but ``allowed`` must be there, whichever they are; where the missing ones outweigh 1 - ``threshold``,
+    other numbers in their places show a look-alike. Text that holds ``threshold`` of the weight counts as well.
+    """
+    size = len(item) if whole else min(WINDOW, len(item))
+    least, known, near = size - allowed(size), set(item), _near(item)
+    there = {_mend(w, known, near) for w in doc}
+    starts = range(len(item) - size + 1)
+    if not any(sum(t in there for t in item[s : s + size]) >= least or sum(w for t, w in zip(item[s : s + size], weights[s : s + size]) if t in there) >= threshold * sum(weights[s : s + size]) for s in starts):
+        return False
+    doc, place = align(item, doc)
     for s in starts:
         total = sum(weights[s : s + size])
         at = sorted((place[x], weights[x]) for x in range(s, s + size) if place[x] >= 0)
         r, now = 0, 0.0
-        for p, w in at:
+        for k, (p, w) in enumerate(at):
             while r < len(at) and at[r][0] < p + size * slack:
                 now += at[r][1]
                 r += 1
-            best = max(best, now / total)
+            if now >= threshold * total or (r - k >= least and not renumbered(item, doc, place, s - 8, s + size + 8)):
+                return True
             now -= w
-    return best
+    return False
 
 
 def _verify(threshold: float):
     def run(batches):
         for pdf in batches:
             keep = [
-                cover(i.split(" "), list(w), d.split(" "), bool(q)) >= threshold
+                holds(i.split(" "), list(w), d.split(" "), bool(q), threshold)
                 for i, w, d, q in zip(pdf["item"], pdf["weights"], pdf["stretch"], pdf["whole"])
             ]
             yield pdf.loc[keep, ["doc_id", "item_id"]]
@@ -141,8 +196,8 @@ def _verify(threshold: float):
 def leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.87) -> DataFrame:
     """(doc_id, item_id): documents that hold an item's whole question, or at least 20 consecutive words of its passage.
 
-    About one word in ten may differ. Words weigh by their rarity among items, so text that only resembles an
-    item, with other names and numbers, stays below ``threshold``. Null and empty texts, questions and passages
+    About one word in ten may differ, rare or not. Words weigh by their rarity among items; text below ``threshold``
+    of the weight that has other numbers in the places of the item's only resembles it. Null and empty texts, questions and passages
     have no rows; texts shorter than three words cannot match; repeated rows repeat no result; other columns are
     ignored.
     """
@@ -159,11 +214,16 @@ def leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.87) -> Da
     seeds = scratch.keep(seeds.join(common, "seed").select("seed", "part", (F.col("df") <= F.greatest(F.lit(3.0), n_items * 0.0125)).alias("rare")), "seeds")
     texts = documents.where("text is not null").select("doc_id", words(F.col("text")).alias("words"))
     met = texts.select("doc_id", F.inline(_seeds(F.col("words")))).join(maybe_broadcast(seeds), "seed")
-    # of 20 words with two changed at least 12 triples remain, those with the item's own names and numbers among them
+    # of 20 words with two changed at least 12 triples remain, close together; they may all be common ones
+    size = F.when(F.col("whole"), F.size("words")).otherwise(F.least(F.lit(WINDOW), F.size("words")))
+    needs = parts.select("part", size.alias("size")).withColumn("edits", F.when(F.col("size") >= 7, F.ceil(F.col("size") / 10)).otherwise(0))
+    needs = needs.select("part", F.greatest(F.lit(1), F.col("size") - (SEED - 1) - SEED * F.col("edits")).cast("int").alias("need"), F.ceil(F.col("size") * 1.3).cast("int").alias("span"))
+    close = F.exists(F.sequence(F.lit(1), F.col("n") - F.col("need") + 1), lambda k: F.element_at("places", (k + F.col("need") - 1).cast("int")) - F.element_at("places", k.cast("int")) < F.col("span"))
     pairs = (
         met.groupBy("doc_id", "part")
-        .agg(F.count("*").alias("n"), F.count_if("rare").alias("rare"), F.min("at").alias("low"), F.max("at").alias("high"))
-        .where("n >= 6 and rare >= 2")
+        .agg(F.count("*").cast("int").alias("n"), F.count_if("rare").alias("rare"), F.min("at").alias("low"), F.max("at").alias("high"), F.array_sort(F.collect_list("at")).alias("places"))
+        .join(maybe_broadcast(scratch.keep(needs, "needs")), "part")
+        .where((F.col("n") >= F.least(F.lit(6), "need")) & (((F.col("n") >= 6) & (F.col("rare") >= 2)) | F.when(F.col("n") >= F.col("need"), close).otherwise(False)))
     )
     pairs = scratch.keep(pairs.select("doc_id", "part", "low", "high"), "pairs")
     stretch = F.array_join(F.slice("words", F.greatest(F.col("low") - 25, F.lit(1)), F.col("high") - F.greatest(F.col("low") - 25, F.lit(1)) + 28), " ")

@@ -186,6 +186,19 @@ def test_leaks_by_tiles(spark):
     assert rows_of(leaks.leaks(df, spark.createDataFrame([], ITEMS))) == []
 
 
+def test_leaks_with_rare_words_changed(spark):
+    frame = "who besides the {} may open locker {} of {} when the badge readers show a late reading at the site today"
+    items = [(k, frame.format(role, 10 + k, f"name{k}x"), f"p{k}a p{k}b p{k}c", "") for k, role in enumerate(["vendor", "auditor", "operator", "owner"] * 5)]
+    asked = items[3][1]
+    docs = [
+        (1, asked.replace("name3x", "almost").replace(" 13 ", " then ")),  # the two rarest words changed
+        (2, asked.replace("name3x", "zubrefo").replace(" 13 ", " 77 ")),  # a look-alike
+        (3, asked.replace("name3x", "almost").replace("may", "did")), (4, asked.replace("owner", "x").replace("open", "y").replace("name3x", "z").replace("late", "w")),
+    ]
+    df = spark.createDataFrame([(i, f"before it all {t} after it all", "x") for i, t in docs], "doc_id long, text string, part string")
+    assert rows_of(leaks.leaks(df, spark.createDataFrame(items, ITEMS)).where("item_id = 3")) == [(1, 3), (3, 3)]
+
+
 def test_tiles_are_longest_first_and_disjoint():
     rnd = random.Random(3)
     for _ in range(60):
