@@ -16,7 +16,7 @@ from .leaks import leaks
 from .mixing import mix
 from .names import typed_names, variant_pairs
 from .residue import residue
-from .scans import flaws
+from .scans import flaws, repaired
 from .survivors import survivors
 
 
@@ -38,6 +38,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return flaws(table(spark, d, "extracted_texts"))
 
 
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The texts as readable paragraphs."""
+    return repaired(table(spark, d, "extracted_texts"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return registry_repeats(table(spark, d, "ingest_registry"))
 
@@ -63,7 +68,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_mix": p8_mix, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_survivors": p2_survivors, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_mix": p8_mix, "p9_found": p9_found}
 
 
 _FOLD = r"trim(regexp_replace(lower(strip_accents(%s)), '[\s\x{1c}-\x{1f}\x{85}\pZ]+', ' ', 'g'))"

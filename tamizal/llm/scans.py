@@ -275,13 +275,8 @@ def bare(c):
     return F.regexp_replace(c, r"^[.,;:()«»“”\"'?¿¡\[\]]+|[.,;:()«»“”\"'?¿¡\[\]]+$", "")
 
 
-def flaws(texts: DataFrame) -> DataFrame:
-    """(text_id, line_no, flaw): furniture, broken and misread lines of extracted texts.
-
-    Lines are counted from 1 over ``text`` split at line feeds; file and page marks and blank lines are never
-    flawed. Null and empty texts have no rows, repeated rows repeat no result, other columns are ignored. Texts
-    of any length are read whole, one text at a time; words are judged once over the corpus.
-    """
+def judge_texts(texts: DataFrame) -> tuple[Scratch, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The kept tables of one run: lines with ``furniture``, body lines in words, line ends to join, words to judge and verdicts on them."""
     scratch = Scratch(texts.sparkSession, "scans")
     lines = scratch.keep(texts.where("text is not null").select(F.col("text_id").cast("long").alias("text_id"), "text").mapInPandas(page_lines, LINES), "lines")
     judged = find_furniture(scratch, lines)
@@ -309,9 +304,10 @@ def flaws(texts: DataFrame) -> DataFrame:
         for pdf in batches:
             cols = zip(pdf["kind"], pdf["left"], pdf["first"], pdf["n_left"], pdf["n_right"], pdf["n_whole"])
             keep = [model.score(join_features(*x)) > 0 for x in cols]
-            yield pdf.loc[keep, ["text_id", "line_no", "next_no", "left", "right"]]
+            pdf["compound"] = (pdf["kind"] == "hyphen") & (pdf["n_whole"] == 0) & (pdf["n_left"] > 0) & (pdf["n_right"] > 0)
+            yield pdf.loc[keep, ["text_id", "line_no", "next_no", "left", "right", "compound"]]
 
-    broken = scratch.keep(met.select("text_id", "line_no", "next_no", "kind", "left", "first", "right", "n_left", "n_right", "n_whole").mapInPandas(join_lines, "text_id long, line_no int, next_no int, left string, right string"), "broken")
+    broken = scratch.keep(met.select("text_id", "line_no", "next_no", "kind", "left", "first", "right", "n_left", "n_right", "n_whole").mapInPandas(join_lines, "text_id long, line_no int, next_no int, left string, right string, compound boolean"), "broken")
 
     # words to judge: inner words as they are, words across line ends joined
     inner = body.join(broken.select("text_id", "line_no", F.lit(1).alias("cut")), ["text_id", "line_no"], "left").join(broken.select("text_id", F.col("next_no").alias("line_no"), F.lit(1).alias("goes_on")), ["text_id", "line_no"], "left")
@@ -345,7 +341,17 @@ def flaws(texts: DataFrame) -> DataFrame:
 
     scored = proposals.mapInPandas(judge, "typed string, place int, fixed string, score double")
     verdicts = scored.groupBy("typed").agg(F.max(F.struct("score", "place", "fixed")).alias("x")).where("x.score > 0").select("typed", F.col("x.place").alias("place"), F.col("x.fixed").alias("fixed"))
-    verdicts = scratch.keep(verdicts, "verdicts")
+    return scratch, judged, body, broken, typed, scratch.keep(verdicts, "verdicts")
+
+
+def flaws(texts: DataFrame) -> DataFrame:
+    """(text_id, line_no, flaw): furniture, broken and misread lines of extracted texts.
+
+    Lines are counted from 1 over ``text`` split at line feeds; file and page marks and blank lines are never
+    flawed. Null and empty texts have no rows, repeated rows repeat no result, other columns are ignored. Texts
+    of any length are read whole, one text at a time; words are judged once over the corpus.
+    """
+    _, judged, _, broken, typed, verdicts = judge_texts(texts)
     wrong = typed.join(maybe_broadcast(verdicts.select("typed", "place")), "typed").select("text_id", F.when(F.col("place") >= F.col("border"), F.col("next_no")).otherwise(F.col("line_no")).alias("line_no"))
     found = (
         judged.where("furniture").select("text_id", "line_no", F.lit("furniture").alias("flaw"))
@@ -355,4 +361,86 @@ def flaws(texts: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-__all__ = ["Perceptron", "edits", "flaws", "train_editor", "train_joiner"]
+def as_typed(typed: str, fixed: str) -> str:
+    """The correction in the case of the word."""
+    letters = [ch for ch in typed if ch.isalpha()]
+    if len(letters) > 1 and all(ch.isupper() for ch in letters):
+        return fixed.upper()
+    return fixed[:1].upper() + fixed[1:] if typed[:1].isupper() else fixed
+
+
+def corrected(word: str, typed: str, fixed: str) -> str:
+    """The word as it stands, with its inner part ``typed`` corrected and outer marks kept."""
+    at = word.lower().find(typed.lower())
+    return word if at < 0 else word[:at] + as_typed(word[at : at + len(typed)], fixed) + word[at + len(typed) :]
+
+
+def paragraphs(lines) -> str:
+    """Body lines of one text (line_no, page, furniture, words, whole, fixed, border, compound) as paragraphs with a blank line between.
+
+    A blank line ends a paragraph; a new page ends it only after a full sentence, a cut word never.
+    """
+    done, now, cut, gap, before, page = [], [], None, False, None, None
+    for x in lines:
+        gap = gap or (before is not None and x["page"] == before["page"] and x["line_no"] > before["line_no"] + 1)
+        before = x
+        if x["furniture"]:
+            continue
+        words = list(x["words"])
+        ended = bool(now) and now[-1].rstrip("»”\"')")[-1:] in (".", "!", "?", ":")
+        if cut is not None:
+            last = re.sub(f"[{HYPHENS}]$", "", now.pop())
+            whole, border = last + words.pop(0), len(last)
+            if cut["fixed"] is not None:
+                mended = corrected(whole, cut["whole"], cut["fixed"])
+                border += len(mended) - len(whole) if (cut["place"] or 0) < cut["border"] else 0
+                whole = mended
+            words.insert(0, whole[:border] + "-" + whole[border:] if cut["compound"] else whole)
+        elif now and (gap and x["page"] == page or ended and x["page"] != page):
+            done.append(" ".join(now))
+            now = []
+        now += words
+        cut, gap, page = (x if x["whole"] is not None else None), False, x["page"]
+    return "\n\n".join([*done, " ".join(now)] if now else done)
+
+
+def repaired(texts: DataFrame) -> DataFrame:
+    """(text_id, text): the texts as continuous paragraphs, without running headers, footers, page numbers and page marks.
+
+    Cut words are joined across lines and pages, misread words replaced by the correction judged best. Null texts
+    have no rows, a text without body is empty. Finds the same flaws as ``flaws``.
+    """
+    scratch, judged, body, broken, _, verdicts = judge_texts(texts)
+    # the first word of a line goes with the line before if that one is cut, its last with the next; both are judged joined
+    cut = broken.select("text_id", "line_no", F.lit(True).alias("cut"))
+    goes_on = broken.select("text_id", F.col("next_no").alias("line_no"), F.lit(True).alias("goes_on"))
+    words = body.join(cut, ["text_id", "line_no"], "left").join(goes_on, ["text_id", "line_no"], "left")
+    words = words.select("text_id", "line_no", F.size("words").alias("n"), "cut", "goes_on", F.posexplode("words").alias("at", "word"))
+    edge = (F.col("goes_on").isNotNull() & (F.col("at") == 0)) | (F.col("cut").isNotNull() & (F.col("at") == F.col("n") - 1))
+    words = words.where(~edge).select("text_id", "line_no", "at", bare(F.col("word")).alias("typed"))
+    met = words.join(maybe_broadcast(verdicts.select("typed", "fixed")), "typed").groupBy("text_id", "line_no").agg(F.collect_list(F.struct("at", "typed", "fixed")).alias("mends"))
+    joins = broken.select("text_id", "line_no", F.concat("left", "right").alias("whole"), F.length("left").alias("border"), "compound")
+    joins = joins.join(maybe_broadcast(verdicts.withColumnRenamed("typed", "whole")), "whole", "left")
+    lines = judged.select("text_id", "line_no", "page", "furniture").join(body.select("text_id", "line_no", F.array_join("words", " ").alias("words")), ["text_id", "line_no"], "left")
+    lines = lines.join(met, ["text_id", "line_no"], "left").join(joins, ["text_id", "line_no"], "left")
+    whole = lines.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "page", "furniture", "words", "mends", "whole", "border", "compound", "place", "fixed"))).alias("lines"))
+
+    def assemble(batches):
+        for pdf in batches:
+            out = []
+            for lines_ in pdf["lines"]:
+                rows = []
+                for x in lines_:
+                    inner = (x["words"] or "").split(" ")
+                    for m in x["mends"] if x["mends"] is not None else ():
+                        inner[m["at"]] = corrected(inner[m["at"]], m["typed"], m["fixed"])
+                    rows.append({**x, "words": inner})
+                out.append(paragraphs(rows))
+            yield pd.DataFrame({"text_id": pdf["text_id"], "text": out})
+
+    read = whole.mapInPandas(assemble, "text_id long, text string")
+    every = texts.where("text is not null").select(F.col("text_id").cast("long").alias("text_id")).distinct()
+    return every.join(read, "text_id", "left").na.fill("", ["text"])
+
+
+__all__ = ["Perceptron", "edits", "flaws", "repaired", "train_editor", "train_joiner"]

@@ -287,6 +287,34 @@ def test_scan_flaws(spark):
     assert rows_of(scans.flaws(df.limit(0))) == []
 
 
+def test_scans_are_repaired(spark):
+    texts, want = [], {}
+    for k in range(60):
+        out, pages = ["=== f.pdf ===", ""], []
+        for p, lines in scan_text(k):
+            out += [f"--- Página {p} ---", "Recovery Handbook Drane"]
+            clean, typed = [*lines], [*lines]
+            clean[3], typed[3] = f"maintenance {lines[3]}.", f"{'rnaintenance' if (k % 20, p) == (0, 2) else 'maintenance'} {lines[3]}."
+            clean[4], typed[4], typed[5] = lines[4] + " maintenance", lines[4] + " mainte-", "nance " + lines[5]
+            out += [*typed[:4], "", *typed[4:], f"- {p} -"]
+            pages += [" ".join(clean[:4]), " ".join(clean[4:])]
+        texts.append((k, "\n".join(out)))
+        # pages end within a sentence, so that paragraphs go on over them
+        want[k] = "\n\n".join([pages[0], f"{pages[1]} {pages[2]}", f"{pages[3]} {pages[4]}", pages[5]])
+    texts += [(900, None), (901, ""), (902, "=== only ===")]
+    got = dict(rows_of(scans.repaired(spark.createDataFrame(texts, "text_id long, text string"))))
+    assert got.pop(901) == got.pop(902) == "" and set(got) == set(want)
+    assert sum(got[k] == want[k] for k in want) > 0.9 * len(want), (got[1], want[1])
+    assert all(got[k] == want[k] for k in (0, 20, 40)), (got[0], want[0])  # those with a misread word
+
+
+def test_paragraphs_keep_compounds_and_case():
+    line = lambda no, page, words, **x: {"line_no": no, "page": page, "furniture": False, "words": words.split(), "whole": None, "border": None, "compound": None, "place": None, "fixed": None} | x
+    lines = [line(1, 1, "An off-", whole="offline", border=3, compound=True), line(2, 1, "Header", furniture=True), line(3, 2, "line Mainte-", whole="rnaintenance", border=7, compound=False), line(4, 2, "nance ends."), line(6, 2, "New one.")]
+    assert scans.paragraphs(lines) == "An off-line Maintenance ends.\n\nNew one."
+    assert scans.corrected("«Rnaintenance»,", "Rnaintenance", "maintenance") == "«Maintenance»,"
+
+
 def test_perceptron_learns_a_rule():
     rows = [([f"a{i % 7}", f"b{i % 5}", "bias"], int(i % 7 in (1, 2))) for i in range(500)]
     model = scans.Perceptron().fit(rows)
