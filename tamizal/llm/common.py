@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +18,20 @@ def maybe_broadcast(kept: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(kept) if size_of(kept) <= limit else kept
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer tasks than cores dealt out over all of them, for costly work on a row; a larger scan as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def names_something(folded: Column) -> Column:
     """Whether a folded name is neither null, blank nor the placeholder."""
     return F.coalesce((folded != "") & (folded != "unknown"), F.lit(False))
 
 
-__all__ = ["BROADCAST_BYTES", "Scratch", "maybe_broadcast", "names_something"]
+__all__ = ["BROADCAST_BYTES", "Scratch", "let", "maybe_broadcast", "names_something", "spread"]

@@ -220,6 +220,18 @@ def test_residue_kinds(spark):
     assert rows_of(residue.residue(df.limit(0))) == []
 
 
+def test_residue_of_other_wording_and_length(spark):
+    long_notice = "Please enable JavaScript in the settings of your browser so that this page can show the whole of the content that was prepared for readers of every region and language."
+    docs = [
+        (1, "HTTP 503 upstream connect error or disconnect before headers"), (2, "Veuillez patienter pendant la vérification."), (3, "We are sorry, but the page that you tried to open is gone."),
+        (4, "Sorry, this content isn't available right now."), (5, long_notice), (6, "Dear [Name of customer], we write about {{topic}}."), (7, "Review date: ________"), (8, "zxcv asdf qwer hjkl asd"),
+        (9, "The harbor crew replaced the pump. The valve is open. The log is complete. The new shift waits. When the page that you need is gone, the keeper writes a note."),
+        (10, "Scripts under ${HOME}/bin run at night. Status TBD is not accepted by the tracker."), (11, "Approved by: the audit office"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"] for r in residue.residue(df).collect()} == {1, 2, 3, 4, 5, 6, 7, 8}
+
+
 TOKENIZER = mixing.TOKENIZER
 
 
