@@ -1,10 +1,12 @@
 """Problem 7: evaluation texts leaking into training text.
 
-Documents and items meet through shared seeds (hashed word triples); pairs whose seeds could make a leak are
-verified by greedy string tiling: the longest common word runs, found by running Karp-Rabin hashes, are marked
-first and never overlap; single words between two changes are put in afterwards. A leak is decided by the number
-of the item's words found, over the whole question or any 20 consecutive words of the passage, inside a stretch
-of the document not much longer; rarity only tells look-alikes. Tiles may be reordered inside that stretch.
+Documents and items meet through shared seeds, hashed word triples of the item. Only the rarest seeds of every
+window of an item are looked up, as many as make sure that a window with all its allowed changes keeps some of
+them; so frames shared by many items bring no pairs. Stretches of documents around such seeds are verified by
+greedy string tiling: the longest common word runs, found by running Karp-Rabin hashes, are marked first and
+never overlap; single words between two changes are put in afterwards. A leak is decided by the number of the
+item's words found, over the whole question or any 20 consecutive words of the passage, inside a stretch of the
+document not much longer; rarity only tells look-alikes. Tiles may be reordered inside that stretch.
 """
 
 from __future__ import annotations
@@ -12,12 +14,12 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamizal.functions.text import strip_accents
 
-from .common import Scratch, maybe_broadcast
+from .common import Scratch, let, maybe_broadcast, spread
 
 WINDOW = 20
 SEED = 3
@@ -25,15 +27,38 @@ SEED = 3
 
 def words(text: Column) -> Column:
     """Lower-case words without accents, tags, punctuation; words cut by a hyphen at a line end are joined."""
-    s = F.regexp_replace(text, r"<[^<>]{1,300}>", " ")
-    s = F.regexp_replace(s, "[-‐­¬]\\s*\\n\\s*", "")
-    return F.regexp_extract_all(F.lower(strip_accents(s)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    s = let(text, lambda t: F.when(t.contains("<"), F.regexp_replace(t, r"<[^<>]{1,300}>", " ")).otherwise(t))
+    s = let(F.lower(F.regexp_replace(s, "[-‐­¬]\\s*\\n\\s*", "")), strip_accents)
+    return F.regexp_extract_all(s, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _seeds(tokens: Column) -> Column:
-    n = F.size(tokens) - (SEED - 1)
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.element_at(tokens, i), F.element_at(tokens, i + 1), F.element_at(tokens, i + 2)).alias("seed")))
+def _seeds(tokens: Column, sizes: list[int]) -> Column:
+    """(at, seed) of every run of ``sizes`` words; a hash of the words' hashes."""
+
+    def of(hashes: Column, k: int) -> Column:
+        n = F.size(hashes) - (k - 1)
+        at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(hashes, i + j - 1) for j in range(k)]).alias("seed")))
+
+    return let(F.transform(tokens, lambda w: F.xxhash64(w)), lambda h: F.concat(*[of(h, k) for k in sizes]))
+
+
+def _rarest(parts: DataFrame) -> DataFrame:
+    """(seed, part, need, span): the seeds to look up, and how many of them a leak keeps within ``span`` words.
+
+    parts: part, words, size (words of a window), k (words of a seed). Of the seeds of a window, its changes break
+    at most ``k`` each; two more than they can break are chosen where there are as many, the rarest among the items first.
+    """
+    broken = F.col("k") * allowed_of(F.col("size"))
+    lists = parts.withColumn("chosen", F.least(F.col("size") - F.col("k") + 1, broken + 3)).withColumn("need", F.greatest(F.lit(1), F.col("chosen") - broken).cast("int"))
+    at = F.when(F.col("k") == 1, _seeds(F.col("words"), [1])).when(F.col("k") == 2, _seeds(F.col("words"), [2])).otherwise(_seeds(F.col("words"), [SEED]))
+    seeds = lists.select("part", "need", "chosen", F.ceil(F.col("size") * 1.3).cast("int").alias("span"), (F.col("size") - F.col("k") + 1).alias("width"), F.size("words").alias("n"), "k", F.inline(at))
+    common = seeds.groupBy("seed").agg(F.countDistinct("part").alias("df"))
+    # every window that a seed lies in, by its first word
+    last = F.col("n") - F.col("k") + 1
+    windows = seeds.join(common, "seed").withColumn("window", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("width") + 1), F.least(F.col("at"), F.greatest(F.lit(1), last - F.col("width") + 1)))))
+    order = Window.partitionBy("part", "window").orderBy("df", "seed", "at")
+    return windows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("chosen")).select("seed", "part", "need", "span").distinct()
 
 
 def tile(a: list[int], b: list[int], least: int = 2) -> list[int]:
@@ -106,6 +131,11 @@ def allowed(n: int) -> int:
     return -(-n // 10) if n >= 7 else 0
 
 
+def allowed_of(n: Column) -> Column:
+    """``allowed`` of a column."""
+    return F.when(n >= 7, F.ceil(n / 10)).otherwise(0).cast("int")
+
+
 def align(item: list[str], doc: list[str]) -> tuple[list[str], list[int]]:
     """``doc`` with slips mended, and for each word of ``item`` its place there or -1: tiles, then single words left between them."""
     known, near = set(item), _near(item)
@@ -197,42 +227,40 @@ def leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.87) -> Da
     """(doc_id, item_id): documents that hold an item's whole question, or at least 20 consecutive words of its passage.
 
     About one word in ten may differ, rare or not. Words weigh by their rarity among items; text below ``threshold``
-    of the weight that has other numbers in the places of the item's only resembles it. Null and empty texts, questions and passages
-    have no rows; texts shorter than three words cannot match; repeated rows repeat no result; other columns are
-    ignored.
+    of the weight that has other numbers in the places of the item's only resembles it. Questions of one or two
+    words are looked up whole. Null and empty texts, questions and passages have no rows; repeated rows repeat no
+    result; other columns are ignored. Documents of any length are read whole, and verified in stretches.
     """
     scratch = Scratch(documents.sparkSession, "leaks")
     parts = items.select("item_id", F.posexplode(F.array("question", "passage")).alias("kind", "text")).where("text is not null")
-    parts = parts.select(F.concat_ws("-", "item_id", "kind").alias("part"), "item_id", (F.col("kind") == 0).alias("whole"), words(F.col("text")).alias("words")).where(F.size("words") >= SEED)
+    parts = parts.select(F.concat_ws("-", "item_id", "kind").alias("part"), "item_id", (F.col("kind") == 0).alias("whole"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    parts = parts.withColumn("size", F.when(F.col("whole"), F.size("words")).otherwise(F.least(F.lit(WINDOW), F.size("words")))).withColumn("k", F.least(F.lit(SEED), F.size("words")))
     parts = scratch.keep(parts.distinct(), "parts")
     n_items = F.lit(float(max(parts.select("item_id").distinct().count(), 1)))
     rarity = parts.select("item_id", F.explode(F.array_distinct("words")).alias("word")).distinct().groupBy("word").agg(F.log(1 + n_items / F.count("*")).alias("w"))
     weighed = parts.select("part", F.posexplode("words").alias("at", "word")).join(rarity, "word").groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]).alias("weights"))
     parts = scratch.keep(parts.join(weighed, "part"), "weighed")
-    seeds = parts.select("part", "item_id", F.explode(F.array_distinct(F.transform(_seeds(F.col("words")), lambda x: x["seed"]))).alias("seed"))
-    common = seeds.groupBy("seed").agg(F.countDistinct("item_id").alias("df"))
-    seeds = scratch.keep(seeds.join(common, "seed").select("seed", "part", (F.col("df") <= F.greatest(F.lit(3.0), n_items * 0.0125)).alias("rare")), "seeds")
-    texts = documents.where("text is not null").select("doc_id", words(F.col("text")).alias("words"))
-    met = texts.select("doc_id", F.inline(_seeds(F.col("words")))).join(maybe_broadcast(seeds), "seed")
-    # of 20 words with two changed at least 12 triples remain, close together; they may all be common ones
-    size = F.when(F.col("whole"), F.size("words")).otherwise(F.least(F.lit(WINDOW), F.size("words")))
-    needs = parts.select("part", size.alias("size")).withColumn("edits", F.when(F.col("size") >= 7, F.ceil(F.col("size") / 10)).otherwise(0))
-    needs = needs.select("part", F.greatest(F.lit(1), F.col("size") - (SEED - 1) - SEED * F.col("edits")).cast("int").alias("need"), F.ceil(F.col("size") * 1.3).cast("int").alias("span"))
-    close = F.exists(F.sequence(F.lit(1), F.col("n") - F.col("need") + 1), lambda k: F.element_at("places", (k + F.col("need") - 1).cast("int")) - F.element_at("places", k.cast("int")) < F.col("span"))
-    pairs = (
-        met.groupBy("doc_id", "part")
-        .agg(F.count("*").cast("int").alias("n"), F.count_if("rare").alias("rare"), F.min("at").alias("low"), F.max("at").alias("high"), F.array_sort(F.collect_list("at")).alias("places"))
-        .join(maybe_broadcast(scratch.keep(needs, "needs")), "part")
-        .where((F.col("n") >= F.least(F.lit(6), "need")) & (((F.col("n") >= 6) & (F.col("rare") >= 2)) | F.when(F.col("n") >= F.col("need"), close).otherwise(False)))
-    )
-    pairs = scratch.keep(pairs.select("doc_id", "part", "low", "high"), "pairs")
-    stretch = F.array_join(F.slice("words", F.greatest(F.col("low") - 25, F.lit(1)), F.col("high") - F.greatest(F.col("low") - 25, F.lit(1)) + 28), " ")
+    sizes = sorted(r["k"] for r in parts.select("k").distinct().collect()) or [SEED]  # three values at most
+    seeds = scratch.keep(_rarest(parts), "seeds")
+    # seeds first, then their parts: most of a document's words are dropped before anything multiplies
+    wanted = scratch.keep(seeds.select("seed").distinct(), "wanted")
+    texts = spread(documents.where("text is not null").select("doc_id", "text"))
+    met = texts.select("doc_id", F.inline(_seeds(words(F.col("text")), sizes))).join(maybe_broadcast(wanted), "seed", "left_semi")
+    met = met.join(maybe_broadcast(seeds), "seed").groupBy("doc_id", "part", "need", "span").agg(F.array_sort(F.collect_set("at")).alias("places"))
+    close = lambda k: F.get("places", k + F.col("need") - 1) - F.get("places", k) < F.col("span")
+    starts = F.filter(F.sequence(F.lit(0), F.size("places") - F.col("need")), lambda k: close(k))
+    met = met.where(F.size("places") >= F.col("need")).select("doc_id", "part", "span", F.explode(F.array_distinct(F.transform(starts, lambda k: F.floor(F.get("places", k) / (4 * F.col("span"))).cast("int")))).alias("nth"))
+    pairs = scratch.keep(met.select("doc_id", "part", "span", "nth"), "pairs")
+    low = F.greatest(F.lit(1), F.col("nth") * 4 * F.col("span") - F.col("span") - 8)
+    stretch = F.array_join(F.slice("words", low, (F.col("nth") + 1) * 4 * F.col("span") + 2 * F.col("span") + 8 - low), " ")
+    ours = documents.where("text is not null").select("doc_id", "text").join(maybe_broadcast(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
+    ours = scratch.keep(ours.select("doc_id", words(F.col("text")).alias("words")), "words")
     tried = (
-        texts.join(maybe_broadcast(pairs), "doc_id")
+        pairs.join(ours, "doc_id")
         .join(maybe_broadcast(parts.select("part", "item_id", "whole", F.array_join("words", " ").alias("item"), "weights")), "part")
         .select("doc_id", "item_id", "whole", "item", "weights", stretch.alias("stretch"))
     )
-    return tried.mapInPandas(_verify(threshold), "doc_id long, item_id long").distinct()
+    return spread(tried).mapInPandas(_verify(threshold), "doc_id long, item_id long").distinct()
 
 
 def tiles_of(a: str, b: str) -> pd.Series:

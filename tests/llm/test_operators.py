@@ -199,6 +199,22 @@ def test_leaks_with_rare_words_changed(spark):
     assert rows_of(leaks.leaks(df, spark.createDataFrame(items, ITEMS)).where("item_id = 3")) == [(1, 3), (3, 3)]
 
 
+def test_short_items_shared_items_and_long_documents_leak(spark):
+    rnd = random.Random(12)
+    questions = ["alpha beta gamma delta epsilon zeta eta", "who keeps the brass key of the ninth river gate", "one two three four five six seven eight nine ten eleven twelve", "six words only in this item", "quorum sensing"]
+    items = [(k, q, None, "") for k, q in enumerate(questions)]
+    shared = " ".join(f"s{i}" for i in range(40))
+    items += [(20 + k, None, shared, "") for k in range(12)]  # a passage that many items share
+    filler = lambda n: " ".join(f"f{rnd.randrange(5000)}" for _ in range(n))
+    docs = [
+        (1, f"x {questions[0]} y"), (2, questions[1].replace("brass", "iron")), (3, questions[2]), (4, f"the {questions[3]}."), (5, "on Quorum-Sensing in films"),
+        (6, questions[0].replace("gamma", "x").replace("zeta", "y")), (7, f"{filler(4000)} {shared[:100]} {filler(3000)} {' '.join(shared.split()[5:30])} {filler(4000)}"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)] + [(7, 20 + k) for k in range(12)]
+    assert rows_of(leaks.leaks(df, spark.createDataFrame(items, ITEMS))) == want
+
+
 def test_tiles_are_longest_first_and_disjoint():
     rnd = random.Random(3)
     for _ in range(60):
