@@ -104,26 +104,50 @@ def _runs(ids: list[int], s: int, used: list[bool], base: int = 1_000_003, mod:
             yield i - s + 1, h
 
 
-def _near(item: list[str]) -> dict[str, str]:
-    near = {}
-    for w in set(item):
-        if len(w) >= 5:
-            near[w] = w
-            for i in range(len(w)):
-                near.setdefault(w[:i] + w[i + 1 :], w)
-    return near
-
-
-def _mend(word: str, known: set[str], near: dict[str, str]) -> str:
-    """The item's word that ``word`` is one slip away from, else the word."""
-    if word in known or len(word) < 4:
+class Item:
+    """An item's words with what verification needs of them; slips are mended once for each word met."""
+
+    def __init__(self, words: list[str], weights: list[float], whole: bool, remembered: int = 20_000):
+        self.words, self.weights, self.known, self.remembered = words, weights, set(words), remembered
+        self.size = len(words) if whole else min(WINDOW, len(words))
+        self.least = self.size - allowed(self.size)
+        self.ids = {t: k + 1 for k, t in enumerate(dict.fromkeys(words))}
+        self.near, self.mended = {}, {}
+        for w in self.known:
+            if len(w) >= 5:
+                self.near[w] = w
+                for i in range(len(w)):
+                    self.near.setdefault(w[:i] + w[i + 1 :], w)
+        self.starts = range(len(words) - self.size + 1)
+        self.totals = [sum(weights[s : s + self.size]) for s in self.starts]
+
+    def mend(self, word: str) -> str:
+        """The item's word that ``word`` is one slip away from, else the word."""
+        if word in self.known:
+            return word
+        if (found := self.mended.get(word)) is None:
+            if len(self.mended) >= self.remembered:
+                self.mended.clear()
+            found = self.mended[word] = self._nearest(word)
+        return found
+
+    def _nearest(self, word: str) -> str:
+        if len(word) < 4:
+            return word
+        if word in self.near:
+            return self.near[word]
+        for i in range(len(word)):
+            if (w := self.near.get(word[:i] + word[i + 1 :])) and abs(len(w) - len(word)) <= 1:
+                return w
         return word
-    if word in near:
-        return near[word]
-    for i in range(len(word)):
-        if (w := near.get(word[:i] + word[i + 1 :])) and abs(len(w) - len(word)) <= 1:
-            return w
-    return word
+
+    def may_be_in(self, words: set[str], threshold: float) -> bool:
+        """Whether any window has enough of its words or weight among ``words``, in whatever order."""
+        counts, sums = [0], [0.0]
+        for t, w in zip(self.words, self.weights):
+            counts.append(counts[-1] + (t in words))
+            sums.append(sums[-1] + (w if t in words else 0.0))
+        return any(counts[s + self.size] - counts[s] >= self.least or sums[s + self.size] - sums[s] >= threshold * t - 1e-9 for s, t in zip(self.starts, self.totals))
 
 
 def allowed(n: int) -> int:
@@ -136,25 +160,23 @@ def allowed_of(n: Column) -> Column:
     return F.when(n >= 7, F.ceil(n / 10)).otherwise(0).cast("int")
 
 
-def align(item: list[str], doc: list[str]) -> tuple[list[str], list[int]]:
-    """``doc`` with slips mended, and for each word of ``item`` its place there or -1: tiles, then single words left between them."""
-    known, near = set(item), _near(item)
-    doc = [_mend(w, known, near) for w in doc]
-    ids = {t: k + 1 for k, t in enumerate(dict.fromkeys(item))}
-    place = tile([ids[t] for t in item], [ids.get(t, 0) or len(ids) + 1 + j for j, t in enumerate(doc)])
+def align(item: Item, doc: list[str]) -> list[int]:
+    """For each word of ``item`` its place in ``doc`` (slips mended) or -1: tiles, then single words left between them."""
+    words, ids = item.words, item.ids
+    place = tile([ids[t] for t in words], [ids.get(t, 0) or len(ids) + 1 + j for j, t in enumerate(doc)])
     free, x = set(range(len(doc))) - set(place), 0
-    while x < len(item):
+    while x < len(words):
         y = x
-        while y < len(item) and place[y] < 0:
+        while y < len(words) and place[y] < 0:
             y += 1
-        if x < y and y - x < len(item):
+        if x < y and y - x < len(words):
             room = y - x + allowed(WINDOW)
             low = place[x - 1] + 1 if x else max(0, place[y] - room)
-            high = place[y] if y < len(item) else min(len(doc), low + room)
+            high = place[y] if y < len(words) else min(len(doc), low + room)
             gap = [j for j in range(low, high) if j in free] if high - low <= 2 * room else []
-            _fill(item, doc, place, range(x, y), gap)
+            _fill(words, doc, place, range(x, y), gap)
         x = y + 1
-    return doc, place
+    return place
 
 
 def _fill(item: list[str], doc: list[str], place: list[int], at: range, gap: list[int]) -> None:
@@ -184,40 +206,40 @@ def renumbered(item: list[str], doc: list[str], place: list[int], start: int, st
     return False
 
 
-def holds(item: list[str], weights: list[float], doc: list[str], whole: bool, threshold: float = 0.87, slack: float = 1.3) -> bool:
-    """Whether one stretch of ``doc`` holds the item (``whole``) or any WINDOW words of it.
+def holds(item: Item, doc: list[str], threshold: float = 0.87, slack: float = 1.3) -> bool:
+    """Whether one stretch of ``doc`` holds the whole item or, of a passage, any WINDOW words of it.
 
     All words but ``allowed`` must be there, whichever they are; where the missing ones outweigh 1 - ``threshold``,
     other numbers in their places show a look-alike. Text that holds ``threshold`` of the weight counts as well.
     """
-    size = len(item) if whole else min(WINDOW, len(item))
-    least, known, near = size - allowed(size), set(item), _near(item)
-    there = {_mend(w, known, near) for w in doc}
-    starts = range(len(item) - size + 1)
-    if not any(sum(t in there for t in item[s : s + size]) >= least or sum(w for t, w in zip(item[s : s + size], weights[s : s + size]) if t in there) >= threshold * sum(weights[s : s + size]) for s in starts):
+    size, doc = item.size, [item.mend(w) for w in doc]
+    if not item.may_be_in(set(doc), threshold):
         return False
-    doc, place = align(item, doc)
-    for s in starts:
-        total = sum(weights[s : s + size])
-        at = sorted((place[x], weights[x]) for x in range(s, s + size) if place[x] >= 0)
+    place = align(item, doc)
+    for s, total in zip(item.starts, item.totals):
+        at = sorted((place[x], item.weights[x]) for x in range(s, s + size) if place[x] >= 0)
         r, now = 0, 0.0
         for k, (p, w) in enumerate(at):
             while r < len(at) and at[r][0] < p + size * slack:
                 now += at[r][1]
                 r += 1
-            if now >= threshold * total or (r - k >= least and not renumbered(item, doc, place, s - 8, s + size + 8)):
+            if now >= threshold * total or (r - k >= item.least and not renumbered(item.words, doc, place, s - 8, s + size + 8)):
                 return True
             now -= w
     return False
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, remembered: int = 2000):
     def run(batches):
+        known: dict[str, Item] = {}
         for pdf in batches:
-            keep = [
-                holds(i.split(" "), list(w), d.split(" "), bool(q), threshold)
-                for i, w, d, q in zip(pdf["item"], pdf["weights"], pdf["stretch"], pdf["whole"])
-            ]
+            keep = []
+            for part, text, weights, stretch, whole in zip(pdf["part"], pdf["item"], pdf["weights"], pdf["stretch"], pdf["whole"]):
+                if (item := known.get(part)) is None:
+                    if len(known) >= remembered:
+                        known.clear()
+                    item = known[part] = Item(text.split(" "), list(weights), bool(whole))
+                keep.append(holds(item, stretch.split(" "), threshold))
             yield pdf.loc[keep, ["doc_id", "item_id"]]
 
     return run
@@ -258,7 +280,7 @@ def leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.87) -> Da
     tried = (
         pairs.join(ours, "doc_id")
         .join(maybe_broadcast(parts.select("part", "item_id", "whole", F.array_join("words", " ").alias("item"), "weights")), "part")
-        .select("doc_id", "item_id", "whole", "item", "weights", stretch.alias("stretch"))
+        .select("doc_id", "part", "item_id", "whole", "item", "weights", stretch.alias("stretch"))
     )
     return spread(tried).mapInPandas(_verify(threshold), "doc_id long, item_id long").distinct()
 
