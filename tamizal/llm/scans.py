@@ -1,23 +1,26 @@
 """Problem 3: noise in text from scanned pages.
 
 An averaged perceptron predicts edits: keep, replace, insert or delete characters of a word, or join two lines.
-It is trained here, on clean words of the corpus that a model of recognition errors has spoiled, and sees the
-characters around an edit and how usual the word is before and after it. A second perceptron on page-position
-features finds running headers, footers and page numbers. Word statistics cover the whole corpus and stay in
-tables; only the bounded training samples come to the driver.
+Edits are the confusions a recogniser is known for, and any single replaced, lost or added letter that turns a
+rare word of the corpus into a far more usual one. The editor is trained here, on clean words of the corpus that
+both kinds of errors have spoiled, and sees the characters around an edit and how usual the word is before and
+after it. A second perceptron on page-position features finds running headers, footers and page numbers. Word
+statistics cover all different texts and stay in tables; only the bounded training samples come to the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, maybe_broadcast
+from .common import Scratch, maybe_broadcast, spread
 
 # What a recogniser reads (left) for what is printed (right).
 CONFUSIONS = [
@@ -32,8 +35,15 @@ HEAD = re.compile(r"^=== .* ===$")
 OUTER = ".,;:()«»“”\"'?¿¡[]"
 ROMAN = re.compile(r"^[ivxlc]+$")
 
+#: Characters beyond which a run without blanks is no word to judge.
+LONGEST = 1000
+#: How much more usual a word must be to stand for one that is a letter off.
+FAR_MORE = 20
+
 #: Bounds of the training samples.
 TRAIN_WORDS = 6000
+#: Letters of the shortest word that a letter may be lost from or added to.
+LETTERS = 5
 TRAIN_LINES = 20000
 
 
@@ -126,17 +136,22 @@ def train_editor(words: list[tuple[str, int]], rare: list[tuple[str, int, str, i
             rows.append((edit_features(word, n, fixed, counts.get(fixed, 0), place, edit), 0))
         low = word.lower()
         spoiled = []
-        for seen, meant in CONFUSIONS[:21]:
+        for seen, meant in CONFUSIONS:
             spoiled += [(low[:i] + seen + low[i + len(meant) :]) for i in range(len(low)) if low.startswith(meant, i)]
         if word.isdigit():
             spoiled += [word.replace("1", "l", 1), word.replace("0", "O", 1)]
-        for bad in rnd.sample(spoiled, min(len(spoiled), 3)):
+        for bad in rnd.sample(spoiled, min(len(spoiled), 4)):
             if bad == low or bad in counts:
                 continue
             mine = 1 if n < 20 else rnd.choice((1, 1, 2, 3, max(1, n // 60)))
             rest = max(n - 1, 0) if rnd.random() < 0.75 else 0  # some words occur spoiled only
             for fixed, place, edit in edits(bad):
                 rows.append((edit_features(bad, mine, fixed, rest if fixed == low else counts.get(fixed, 0), place, edit), int(fixed == low)))
+        if word.isalpha() and len(word) > LETTERS and n >= FAR_MORE:
+            i, other = rnd.randrange(1, len(low) - 2), rnd.choice("abcdefghijlmnopqrstuvz")
+            for bad, edit in ((low[:i] + low[i + 1 :], f">{low[i]}"), (low[:i] + other + low[i:], f"{other}>"), (low[:i] + other + low[i + 1 :], f"{other}>{low[i]}")):
+                if bad not in counts:
+                    rows.append((edit_features(bad, 1, low, n - 1, i, edit), 1))
     return Perceptron().fit(rows)
 
 
@@ -175,26 +190,49 @@ def numeric(token: str) -> bool:
 ROBUST = str.maketrans({"0": "o", "1": "i", "l": "i", "!": "i", "|": "i", "5": "s", "8": "b", "h": "b", "e": "c", "q": "g", "v": "u", "f": "t", "†": "t"})
 
 
-def skeleton(line: str) -> str:
-    """A line with numbers masked and characters that are often confused made one."""
+def skeleton(line: str, known: dict[str, str]) -> str:
+    """A line with numbers masked and characters that are often confused made one; ``known`` remembers words."""
     parts = []
-    for raw in re.findall(r"[^\s/|.\-]+|[/|.\-]", line):
-        if numeric(raw):
-            parts.append("#")
-        else:
-            t = raw.lower().replace("rn", "m").replace("cl", "d").replace("vv", "w").replace("ii", "u").replace("li", "h").replace("ﬁ", "fi").replace("ɵ", "ti")
-            parts.append(t.translate(ROBUST))
+    for raw in PIECES.findall(line):
+        if (t := known.get(raw)) is None:
+            if len(known) >= 100_000:
+                known.clear()
+            if numeric(raw):
+                t = "#"
+            else:
+                t = raw.lower().replace("rn", "m").replace("cl", "d").replace("vv", "w").replace("ii", "u").replace("li", "h").replace("ﬁ", "fi").replace("ɵ", "ti").translate(ROBUST)
+            known[raw] = t
+        parts.append(t)
     return " ".join(parts)
 
 
-LINES = "text_id long, line_no int, line string, page int, top int, bottom int, recur int, pages int, skel string, shape string"
+PIECES = re.compile(r"[^\s/|.\-]+|[/|.\-]")
+LINES = "text_id long, first boolean, line_no int, line string, page int, top int, bottom int, recur int, pages int, skel long"
+
+
+def edge_depths(pages: dict[int, list[int]], skel: list[int], place: dict[int, tuple[int, int]], side: int) -> None:
+    """Lines behind repeated furniture count as outer ones: from the third line of a page on, each that most of three or more pages repeat at its place, as long as the line outside it is repeated too."""
+    most = max(3, len(pages) // 2 + 1)
+    depth, going = 2, {p: ids for p, ids in pages.items() if len(ids) > 2}
+    at = lambda ids, k: ids[k] if side == 0 else ids[-1 - k]
+    seen = lambda k: Counter(skel[at(ids, k)] for ids in pages.values() if len(ids) > k)
+    outer = seen(1)
+    going = {p: ids for p, ids in going.items() if outer[skel[at(ids, 1)]] >= most}
+    while going:
+        here = seen(depth)
+        going = {p: ids for p, ids in going.items() if len(ids) > depth and here[skel[at(ids, depth)]] >= most}
+        for ids in going.values():
+            i = at(ids, depth)
+            place[i] = (1, place[i][1]) if side == 0 else (place[i][0], 1)
+        depth += 1
 
 
 def page_lines(batches):
     """Non-blank lines of each text with their places on the page and how many other pages repeat them at an edge."""
+    known: dict[str, str] = {}
     for pdf in batches:
         out = []
-        for text_id, text in zip(pdf["text_id"], pdf["text"]):
+        for text_id, text, first in zip(pdf["text_id"], pdf["text"], pdf["first"]):
             pages, page, where = defaultdict(list), 0, []
             for no, line in enumerate(text.split("\n"), 1):
                 if PAGE.match(line):
@@ -202,17 +240,21 @@ def page_lines(batches):
                 elif line.strip() and not HEAD.match(line):
                     pages[page].append(len(where))
                     where.append((no, line, page))
-            skel = [skeleton(x[1]) for x in where]
+            skel = [int.from_bytes(hashlib.blake2b(skeleton(x[1], known).encode(), digest_size=8).digest(), "big", signed=True) for x in where]
             place, edge = {}, defaultdict(set)
-            for p, ids in pages.items():
+            for ids in pages.values():
                 for k, i in enumerate(ids):
                     place[i] = (k, len(ids) - 1 - k)
+            if len(pages) > 2:
+                edge_depths(pages, skel, place, 0)
+                edge_depths(pages, skel, place, 1)
+            for p, ids in pages.items():
+                for i in ids:
                     if min(place[i]) < 2:
                         edge[skel[i]].add(p)
             for i, (no, line, p) in enumerate(where):
-                shape = re.sub(r"[^\W\d_]+", "w", re.sub(r"\d+", "#", line.strip()))[:40]
-                out.append((text_id, no, line, p, *place[i], len(edge[skel[i]] - {p}), len(pages), skel[i][:60], shape))
-        yield pd.DataFrame(out, columns=["text_id", "line_no", "line", "page", "top", "bottom", "recur", "pages", "skel", "shape"])
+                out.append((text_id, first, no, line, p, *place[i], len(edge[skel[i]] - {p}), len(pages), skel[i]))
+        yield pd.DataFrame(out, columns=["text_id", "first", "line_no", "line", "page", "top", "bottom", "recur", "pages", "skel"])
 
 
 def furniture_features(line: str, top: int, bottom: int, recur: int, pages: int, n_edge: float, n_all: float, with_recur: bool) -> list[str]:
@@ -227,10 +269,10 @@ def furniture_features(line: str, top: int, bottom: int, recur: int, pages: int,
 def find_furniture(scratch: Scratch, lines: DataFrame) -> DataFrame:
     """``lines`` with a column ``furniture``."""
     shapes = lines.groupBy("skel").agg(F.count_if(F.least("top", "bottom") < 2).alias("n_edge"), F.count("*").alias("n_all"))
-    known = lines.join(maybe_broadcast(scratch.keep(shapes, "shapes")), "skel")
+    shapes = maybe_broadcast(scratch.keep(shapes, "shapes"))
     near = (F.least("top", "bottom") < 2) & (F.col("recur") >= 1)
     far = F.least("top", "bottom") >= 2
-    sample = lambda c: known.where(c).orderBy(F.xxhash64("text_id", "line_no")).limit(TRAIN_LINES // 2).select("line", "top", "bottom", "recur", "pages", "n_edge", "n_all").collect()
+    sample = lambda c: lines.where(c).orderBy(F.xxhash64("text_id", "line_no")).limit(TRAIN_LINES // 2).join(shapes, "skel").orderBy(F.xxhash64("text_id", "line_no")).select("line", "top", "bottom", "recur", "pages", "n_edge", "n_all").collect()
     labelled = [(r, 1) for r in sample(near)] + [(r, 0) for r in sample(far)]
     rnd = random.Random(3)
     # now and then the repetition is hidden, so that furniture of single pages is known by what the corpus says of it
@@ -256,9 +298,9 @@ def find_furniture(scratch: Scratch, lines: DataFrame) -> DataFrame:
                 min(t, b) < 2 and model.score(furniture_features(x, t, b, r, p, e, n, with_recur=True)) > 0
                 for x, t, b, r, p, e, n in zip(pdf["line"], pdf["top"], pdf["bottom"], pdf["recur"], pdf["pages"], pdf["n_edge"], pdf["n_all"])
             ]
-            yield pdf[["text_id", "line_no", "line", "page"]].assign(furniture=score)
+            yield pdf[["text_id", "first", "line_no", "line", "page"]].assign(furniture=score)
 
-    return scratch.keep(known.mapInPandas(judge, "text_id long, line_no int, line string, page int, furniture boolean"), "judged")
+    return scratch.keep(lines.join(shapes, "skel").mapInPandas(judge, "text_id long, first boolean, line_no int, line string, page int, furniture boolean"), "judged")
 
 
 def trusted_words(lexicon: DataFrame, least: int = 4) -> list[tuple[str, int]]:
@@ -271,6 +313,24 @@ def trusted_words(lexicon: DataFrame, least: int = 4) -> list[tuple[str, int]]:
     return sorted((w, n) for w, n in words.items() if not any(words.get(f, 0) > 8 * n for f, _, _ in edits(w)))
 
 
+def letters_off(counts: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(typed, n, fixed, n_fixed, place, edit): rare words of letters, and the far more usual words a replaced, lost or added letter away.
+
+    Words meet through their forms with one letter left out. First and last letters, which inflection changes,
+    stay; words that a known confusion explains are left to it.
+    """
+    words = counts.where(F.rlike("token", F.lit(rf"^\p{{L}}{{{LETTERS},60}}$")))
+    cut = F.transform(F.sequence(F.lit(2), F.length("token") - 2), lambda i: F.struct(i.alias("at"), F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.length("token"))).alias("form")))
+    forms = words.select("token", "n", F.inline(F.concat(F.array(F.struct(F.lit(0).alias("at"), F.col("token").alias("form"))), cut)))
+    settled = proposed.where(F.col("n") * FAR_MORE <= F.col("n_fixed")).select(F.lower("typed").alias("token")).distinct()
+    rare = forms.where("n <= 3").join(settled, "token", "left_anti").alias("a")
+    usual = forms.where(F.col("n") >= FAR_MORE).select(F.col("token").alias("fixed"), F.col("n").alias("n_fixed"), F.col("at").alias("gap"), "form").alias("b")
+    met = rare.join(usual, "form").where((F.col("n") * FAR_MORE <= F.col("n_fixed")) & ((F.col("at") == 0) != (F.col("gap") == 0)) | ((F.col("at") == F.col("gap")) & (F.col("at") > 0) & (F.col("n") * FAR_MORE <= F.col("n_fixed"))))
+    seen = F.when(F.col("at") > 0, F.substring("token", F.col("at"), F.lit(1))).otherwise("")
+    meant = F.when(F.col("gap") > 0, F.substring("fixed", F.col("gap"), F.lit(1))).otherwise("")
+    return met.select(F.col("token").alias("typed"), "n", "fixed", "n_fixed", (F.greatest("at", "gap") - 1).cast("int").alias("place"), F.concat(seen, F.lit(">"), meant).alias("edit"))
+
+
 def bare(c):
     return F.regexp_replace(c, r"^[.,;:()«»“”\"'?¿¡\[\]]+|[.,;:()«»“”\"'?¿¡\[\]]+$", "")
 
@@ -278,20 +338,24 @@ def bare(c):
 def judge_texts(texts: DataFrame) -> tuple[Scratch, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """The kept tables of one run: lines with ``furniture``, body lines in words, line ends to join, words to judge and verdicts on them."""
     scratch = Scratch(texts.sparkSession, "scans")
-    lines = scratch.keep(texts.where("text is not null").select(F.col("text_id").cast("long").alias("text_id"), "text").mapInPandas(page_lines, LINES), "lines")
+    texts = texts.where("text is not null").select(F.col("text_id").cast("long").alias("text_id"), "text")
+    # of equal texts only the first counts for what is usual, so that a copied misreading stays rare
+    firsts = scratch.keep(texts.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.min("text_id").alias("text_id")).select("text_id").distinct(), "firsts")
+    marked = texts.join(maybe_broadcast(firsts.withColumn("first", F.lit(True))), "text_id", "left").na.fill(False, ["first"])
+    lines = scratch.keep(spread(marked).mapInPandas(page_lines, LINES), "lines")
     judged = find_furniture(scratch, lines)
     body = judged.where("not furniture")
     order = Window.partitionBy("text_id").orderBy("line_no")
-    body = body.select("text_id", "line_no", F.split(F.trim(F.regexp_replace("line", r"[\s\p{Z}]+", " ")), " ").alias("words"))
+    body = body.select("text_id", "first", "line_no", F.split(F.trim(F.regexp_replace("line", r"[\s\p{Z}]+", " ")), " ").alias("words"))
     body = body.withColumn("next", F.lead(F.col("words")[0]).over(order)).withColumn("next_no", F.lead("line_no").over(order))
     body = scratch.keep(body, "body")
-    tokens = body.select(F.explode("words").alias("w")).select(bare(F.col("w")).alias("typed")).where("typed <> ''")
+    tokens = body.where("first").select(F.explode("words").alias("w")).select(bare(F.col("w")).alias("typed")).where("typed <> ''")
     lexicon = scratch.keep(tokens.groupBy(F.lower("typed").alias("token")).agg(F.count("*").alias("n")), "lexicon")
     words = trusted_words(lexicon)
     joiner = dict(train_joiner(words).w)
 
     # line ends: the last word with the first of the next body line, and how usual they are apart and together
-    ends = body.where("next is not null").select("text_id", "line_no", "next_no", F.element_at("words", -1).alias("last"), F.col("next").alias("first"))
+    ends = body.where("next is not null").select("text_id", F.col("first").alias("counts"), "line_no", "next_no", F.element_at("words", -1).alias("last"), F.col("next").alias("first"))
     ends = ends.withColumn("kind", F.when(F.col("last").rlike(r"\p{L}[‐­¬]$"), "mark").when(F.col("last").rlike(r"[\p{L}\p{N}]-$"), "hyphen").when(F.col("last").rlike(r"\p{L}$") & F.col("first").rlike(r"^\p{Ll}"), "none")).where("kind is not null")
     ends = ends.withColumn("left", F.lower(bare(F.regexp_replace("last", "[-‐­¬]$", "")))).withColumn("right", F.lower(bare(F.col("first")))).withColumn("whole", F.concat("left", "right"))
     count_of = lambda name: lexicon.select(F.col("token").alias(name), F.col("n").alias(f"n_{name}"))
@@ -305,32 +369,36 @@ def judge_texts(texts: DataFrame) -> tuple[Scratch, DataFrame, DataFrame, DataFr
             cols = zip(pdf["kind"], pdf["left"], pdf["first"], pdf["n_left"], pdf["n_right"], pdf["n_whole"])
             keep = [model.score(join_features(*x)) > 0 for x in cols]
             pdf["compound"] = (pdf["kind"] == "hyphen") & (pdf["n_whole"] == 0) & (pdf["n_left"] > 0) & (pdf["n_right"] > 0)
-            yield pdf.loc[keep, ["text_id", "line_no", "next_no", "left", "right", "compound"]]
+            yield pdf.loc[keep, ["text_id", "counts", "line_no", "next_no", "left", "right", "compound"]]
 
-    broken = scratch.keep(met.select("text_id", "line_no", "next_no", "kind", "left", "first", "right", "n_left", "n_right", "n_whole").mapInPandas(join_lines, "text_id long, line_no int, next_no int, left string, right string, compound boolean"), "broken")
+    broken = scratch.keep(met.select("text_id", "counts", "line_no", "next_no", "kind", "left", "first", "right", "n_left", "n_right", "n_whole").mapInPandas(join_lines, "text_id long, counts boolean, line_no int, next_no int, left string, right string, compound boolean"), "broken")
 
     # words to judge: inner words as they are, words across line ends joined
     inner = body.join(broken.select("text_id", "line_no", F.lit(1).alias("cut")), ["text_id", "line_no"], "left").join(broken.select("text_id", F.col("next_no").alias("line_no"), F.lit(1).alias("goes_on")), ["text_id", "line_no"], "left")
     first = F.when(F.col("goes_on").isNull(), 1).otherwise(2)
     kept = F.slice("words", first, F.greatest(F.size("words") - first + 1 - F.when(F.col("cut").isNull(), 0).otherwise(1), F.lit(0)))
-    inner = inner.select("text_id", "line_no", F.explode(kept).alias("w")).select("text_id", "line_no", F.lit(None).cast("int").alias("next_no"), F.lit(None).cast("int").alias("border"), bare(F.col("w")).alias("typed"))
-    across = broken.select("text_id", "line_no", "next_no", F.length("left").alias("border"), F.concat("left", "right").alias("typed"))
+    inner = inner.select("text_id", F.col("first").alias("counts"), "line_no", F.explode(kept).alias("w")).select("text_id", "counts", "line_no", F.lit(None).cast("int").alias("next_no"), F.lit(None).cast("int").alias("border"), bare(F.col("w")).alias("typed"))
+    across = broken.select("text_id", "counts", "line_no", "next_no", F.length("left").alias("border"), F.concat("left", "right").alias("typed"))
     typed = scratch.keep(inner.unionByName(across).where("typed <> ''"), "typed")
-    usual = typed.groupBy("typed").agg(F.count("*").alias("m"))
-    counts = scratch.keep(typed.groupBy(F.lower("typed").alias("token")).agg(F.count("*").alias("n")), "counts")
+    usual = scratch.keep(typed.groupBy("typed").agg(F.count_if("counts").alias("m")), "usual")
+    counts = scratch.keep(usual.groupBy(F.lower("typed").alias("token")).agg(F.sum("m").alias("n")), "counts")
 
     def propose(batches):
         for pdf in batches:
-            rows = [(t, n, f, p, e) for t, n in zip(pdf["typed"], pdf["n"]) if len(t) <= 60 for f, p, e in edits(t)]
+            rows = [(t, n, f, p, e) for t, n in zip(pdf["typed"], pdf["n"]) if len(t) <= LONGEST for f, p, e in edits(t)]
             yield pd.DataFrame(rows, columns=["typed", "n", "fixed", "place", "edit"])
 
-    proposals = usual.withColumn("token", F.lower("typed")).join(counts, "token").select("typed", "n").mapInPandas(propose, "typed string, n long, fixed string, place int, edit string")
+    asked = usual.withColumn("token", F.lower("typed")).join(counts, "token").select("typed", "n")
+    proposals = asked.mapInPandas(propose, "typed string, n long, fixed string, place int, edit string")
     proposals = proposals.join(counts.select(F.col("token").alias("fixed"), F.col("n").alias("n_fixed")), "fixed", "left").na.fill(0, ["n_fixed"])
-    # a misreading is rarer than what it misreads
-    proposals = proposals.where("n <= 3 or n * 5 <= n_fixed")
+    # a misreading is rarer than what it misreads; characters that no word has tell by themselves
+    odd = F.rlike("typed", F.lit(r"[†ɵﬁﬂﬀ]|\p{L}[!|$@]\p{L}"))
+    proposals = proposals.where((F.col("n") <= 3) | (F.col("n") * 5 <= F.col("n_fixed")) | odd)
     proposals = scratch.keep(proposals.select("typed", "n", "fixed", "n_fixed", "place", "edit"), "proposals")
-    rare = proposals.where("n <= 3").select("typed").distinct().orderBy(F.xxhash64("typed")).limit(TRAIN_WORDS // 2)
-    editor = dict(train_editor(words, [tuple(r) for r in proposals.join(rare, "typed").select("typed", "n", "fixed", "n_fixed", "place", "edit").collect()]).w)
+    proposals = scratch.keep(proposals.unionByName(letters_off(counts, proposals)), "edits")
+    known = F.col("edit").isin(*[f"{a}>{b}" for a, b in CONFUSIONS], "several", "number")
+    rare = proposals.where((F.col("n") <= 3) & known).select("typed").distinct().orderBy(F.xxhash64("typed")).limit(TRAIN_WORDS // 2)
+    editor = dict(train_editor(words, [tuple(r) for r in proposals.where(known).join(rare, "typed").select("typed", "n", "fixed", "n_fixed", "place", "edit").collect()]).w)
 
     def judge(batches):
         model = Perceptron()
@@ -426,19 +494,20 @@ def repaired(texts: DataFrame) -> DataFrame:
     whole = lines.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "page", "furniture", "words", "mends", "whole", "border", "compound", "place", "fixed"))).alias("lines"))
 
     def assemble(batches):
-        for pdf in batches:
-            out = []
-            for lines_ in pdf["lines"]:
-                rows = []
-                for x in lines_:
-                    inner = (x["words"] or "").split(" ")
-                    for m in x["mends"] if x["mends"] is not None else ():
-                        inner[m["at"]] = corrected(inner[m["at"]], m["typed"], m["fixed"])
-                    rows.append({**x, "words": inner})
-                out.append(paragraphs(rows))
-            yield pd.DataFrame({"text_id": pdf["text_id"], "text": out})
-
-    read = whole.mapInPandas(assemble, "text_id long, text string")
+        for batch in batches:
+            for k in range(0, batch.num_rows, 16):  # few texts at a time are Python objects
+                some, out = batch.slice(k, 16), []
+                for lines_ in some.column("lines").to_pylist():
+                    rows = []
+                    for x in lines_:
+                        inner = (x["words"] or "").split(" ")
+                        for m in x["mends"] if x["mends"] is not None else ():
+                            inner[m["at"]] = corrected(inner[m["at"]], m["typed"], m["fixed"])
+                        rows.append({**x, "words": inner})
+                    out.append(paragraphs(rows))
+                yield pa.RecordBatch.from_arrays([some.column("text_id"), pa.array(out, pa.string())], names=["text_id", "text"])
+
+    read = whole.mapInArrow(assemble, "text_id long, text string")
     every = texts.where("text is not null").select(F.col("text_id").cast("long").alias("text_id")).distinct()
     return every.join(read, "text_id", "left").na.fill("", ["text"])
 

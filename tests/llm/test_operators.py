@@ -336,6 +336,28 @@ def test_scans_are_repaired(spark):
     assert all(got[k] == want[k] for k in (0, 20, 40)), (got[0], want[0])  # those with a misread word
 
 
+def test_letters_lost_added_and_long_words(spark):
+    long_word = "transmission" * 6
+    lines = ["the crew restores the maintenance report before the outage and signs the historian"] * 60 + [f"the code {long_word} stands on the label"] * 30
+    noisy = ["the crew restores the mantenance reeport here", "the code " + long_word.replace("mission", "rnission", 1) + " stands"]
+    texts = [(k, "=== f ===\n--- Página 1 ---\nfirst line\n" + "\n".join(f"{x} {k} {j}" for j, x in enumerate(lines)) + "\nlast line\nend") for k in range(3)]
+    bad = "=== f ===\n--- Página 1 ---\nfirst line\nmore words\n" + "\n".join(noisy) + "\nand more\nlast line\nend"
+    texts += [(10 + k, bad) for k in range(8)]  # copies of a misreading do not make it usual
+    got = set(rows_of(scans.flaws(spark.createDataFrame(texts, "text_id long, text string")).where("flaw = 'misread'")))
+    assert {(10 + k, n, "misread") for k in range(8) for n in (5, 6)} <= got
+    assert len(got) <= 20
+
+
+def test_furniture_of_three_lines():
+    pages = {p: list(range(10 * p, 10 * p + 8)) for p in range(4)}
+    skel = [f"s{i}" for i in range(40)]
+    for p in pages:
+        skel[10 * p], skel[10 * p + 1], skel[10 * p + 2] = "org", "title", "section"
+    place = {i: (k, 7 - k) for ids in pages.values() for k, i in enumerate(ids)}
+    scans.edge_depths(pages, skel, place, 0)
+    assert [place[k][0] for k in range(5)] == [0, 1, 1, 3, 4]
+
+
 def test_paragraphs_keep_compounds_and_case():
     line = lambda no, page, words, **x: {"line_no": no, "page": page, "furniture": False, "words": words.split(), "whole": None, "border": None, "compound": None, "place": None, "fixed": None} | x
     lines = [line(1, 1, "An off-", whole="offline", border=3, compound=True), line(2, 1, "Header", furniture=True), line(3, 2, "line Mainte-", whole="rnaintenance", border=7, compound=False), line(4, 2, "nance ends."), line(6, 2, "New one.")]
