@@ -332,7 +332,8 @@ def letters_off(counts: DataFrame, proposed: DataFrame) -> DataFrame:
 
 
 def bare(c):
-    return F.regexp_replace(c, r"^[.,;:()«»“”\"'?¿¡\[\]]+|[.,;:()«»“”\"'?¿¡\[\]]+$", "")
+    """A word without outer marks."""
+    return F.btrim(c, F.lit(OUTER))
 
 
 def judge_texts(texts: DataFrame) -> tuple[Scratch, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
