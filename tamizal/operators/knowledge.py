@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tamizal.functions.text import fold, slug, squeeze
 
 # How far each kind of extractor is trusted, and the trust in others.
-EXTRACTOR_WEIGHTS = {"deterministic:equivalences-text": 0.95, "deterministic:entity-aliases-dict": 0.90, "llm:granite-4.1-3b": 0.70, "deterministic:doc-cards": 0.85}
+EXTRACTOR_WEIGHTS = {"deterministic:equivalences-text": 0.95, "deterministic:entity-aliases-dict": 0.90, "deterministic:doc-cards": 0.70, "llm:granite-4.1-3b": 0.85}
 OTHER_WEIGHT = 0.5
 
 

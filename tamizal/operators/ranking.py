@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamizal.session import small
+from tamizal.session import Scratch, small
 
 SEARCH = ("run_id", "query_id")
 
@@ -73,20 +73,35 @@ def rerank_pool(hits: DataFrame, pool: int = 15, top_k: int = 10) -> DataFrame:
     return ranked(hits, "hybrid_score").where(F.col("rank") <= max(pool, top_k))
 
 
-def normalized_filter(hits: DataFrame, limit: float = 0.15, low: float = 0.10, cap: int = 10) -> DataFrame:
-    """Hits whose normalized score reaches ``limit``; searches whose best reranker score is under ``low`` pass whole; at most ``cap``."""
+def normalized_filter(hits: DataFrame, questions: DataFrame | None = None, limit: float = 0.15, low: float = 0.10, cap: int = 10, many: int = 3, keep: int = 2) -> DataFrame:
+    """Hits whose normalized score reaches ``limit``, at most ``cap`` of a search.
+
+    Searches whose best reranker score is under ``low`` pass whole, and so do those of questions with ``many``
+    entities. questions (query_id, numeric, entities: their number): for numeric ones ``low`` is enough, and the
+    first ``keep`` hits stay anyway.
+    """
     weak = F.coalesce(F.max(number("rerank_score")).over(search()), F.lit(0.0)) < low
-    kept = hits.withColumn("weak", weak).where(F.col("weak") | (F.coalesce(number("rerank_norm"), F.lit(0.0)) >= limit))
+    kept = ranked(hits, name="before")
+    kept = kept.join(small(questions.select("query_id", "numeric", "entities")), "query_id", "left") if questions is not None else kept.withColumns({"numeric": F.lit(False), "entities": F.lit(0)})
+    numeric, free = F.coalesce("numeric", F.lit(False)), weak | (F.coalesce("entities", F.lit(0)) >= many)
+    kept = kept.withColumn("weak", weak).withColumn("free", free).where(F.col("free") | (F.coalesce(number("rerank_norm"), F.lit(0.0)) >= F.when(numeric, low).otherwise(limit)) | (numeric & (F.col("before") <= keep)))
     return ranked(kept).where(F.col("rank") <= cap)
 
 
-def preserve_top(hits: DataFrame, top_k: int = 5) -> DataFrame:
-    """Hits of the pages that were in the first ``top_k`` before reranking, in reranked order; those pages' best hits fill up."""
-    before = ranked(hits, "hybrid_score", "before")
-    page = Window.partitionBy(*SEARCH, "source", "page")
-    kept = before.withColumn("page_best", F.min("before").over(page)).where(F.col("page_best") <= top_k)
-    after = ranked(kept, "rerank_score", "after")
-    return after.where(F.col("after") <= top_k)
+def preserve_top(hits: DataFrame, top_k: int = 5, before: str = "hybrid_score", after: str = "final_score") -> DataFrame:
+    """The first ``top_k`` after reranking without pages that were not in the first ``top_k`` before; then the first hit of each such page that is lost, up to ``top_k``.
+
+    A page is its source in lower case and its number; missing ones count as '' and 0. ``filled`` marks hits put back.
+    """
+    placed = ranked(hits, before, "before").withColumn("after", F.row_number().over(search(F.desc_nulls_last(number(after)), F.asc("before"))))
+    placed = placed.withColumns({"_s": F.lower(F.coalesce("source", F.lit(""))), "_p": F.coalesce("page", F.lit(0))})
+    page = Window.partitionBy(*SEARCH, "_s", "_p")
+    placed = placed.withColumn("page_best", F.min("before").over(page)).where(F.col("page_best") <= top_k)
+    placed = placed.withColumn("page_after", F.min("after").over(page))
+    stays, back = F.col("after") <= top_k, (F.col("page_after") > top_k) & (F.col("before") == F.col("page_best"))
+    kept = placed.where(stays | back).withColumn("filled", F.when(stays, 0).otherwise(1))
+    place = F.row_number().over(search(F.asc("filled"), F.when(stays, F.col("after")).otherwise(F.col("before"))))
+    return kept.drop("_s", "_p", "page_after").withColumn("place", place).where(F.col("place") <= top_k)
 
 
 def first_per_page(hits: DataFrame) -> DataFrame:
@@ -134,6 +149,20 @@ def ensure_source(hits: DataFrame, wanted: DataFrame, limit: int = 2, top: int =
     return missing.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit).withColumn("forced_score", F.lit(score))
 
 
+def ensure_entity(hits: DataFrame, entities: DataFrame, limit: int = 2, top: int = 10) -> DataFrame:
+    """Hits whose text names an entity of their question, put in front of searches whose first ``top`` name none.
+
+    entities: query_id, entities. They come with the scores .75 (semantic), .0 (keyword) and .72 (final).
+    """
+    placed = ranked(hits).join(small(entities.where("size(entities) > 0")), "query_id")
+    named = F.exists("entities", lambda e: F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lower(e)))
+    placed = placed.withColumn("named", F.coalesce(named, F.lit(False)))
+    seen = F.max((F.col("named") & (F.col("rank") <= top)).cast("int")).over(search())
+    missing = placed.withColumn("seen", seen).where((F.col("seen") == 0) & F.col("named"))
+    missing = missing.withColumn("nth", F.row_number().over(search(F.asc("rank")))).where(F.col("nth") <= limit)
+    return missing.withColumns({"forced_semantic": F.lit(0.75), "forced_keyword": F.lit(0.0), "forced_score": F.lit(0.72)})
+
+
 def best_per_source(hits: DataFrame, chars: int = 800) -> DataFrame:
     """The best hit of each source of a search, its text cut to ``chars``."""
     w = Window.partitionBy(*SEARCH, "source").orderBy("rank")
@@ -201,32 +230,67 @@ def word_set(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9áéíóúüñ]+"), lambda x: x != ""))
 
 
-def similar_pairs(hits: DataFrame, top: int = 10, threshold: float = 0.85) -> DataFrame:
-    """Pairs of the first ``top`` hits of a search whose word sets are alike (Jaccard)."""
-    few = ranked(hits).where(F.col("rank") <= top).select(*SEARCH, "rank", "hit_id", word_set(F.coalesce("text", F.lit(""))).alias("w"))
-    a, b = few.alias("a"), few.alias("b")
-    met = a.join(b, list(SEARCH)).where("a.rank < b.rank")
-    both = F.size(F.array_intersect("a.w", "b.w"))
-    union = F.size(F.array_union("a.w", "b.w"))
-    return met.select(*SEARCH, F.col("a.hit_id").alias("first_id"), F.col("b.hit_id").alias("second_id"), F.when(union > 0, both / union).otherwise(0.0).alias("jaccard")).where(F.col("jaccard") >= threshold)
+def word_classes(hits: DataFrame) -> DataFrame:
+    """(run_id, query_id, hit_id, rank, class_id, words): hits of equal word sets in a search share the id of the first of them."""
+    words = F.array_sort(word_set(F.coalesce("text", F.lit(""))))
+    marked = ranked(hits).select(*SEARCH, "hit_id", "rank", words.alias("words"), F.xxhash64(F.array_join(words, " ")).alias("h"))
+    return marked.withColumn("class_id", F.min_by("hit_id", "rank").over(Window.partitionBy(*SEARCH, "h", F.size("words"))))
 
 
-def greedy_dedup(hits: DataFrame, top: int = 10, threshold: float = 0.85) -> DataFrame:
-    """The first ``top`` hits of a search without those alike to one that stays; the better one stays, in order.
+def similar_classes(classes: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(run_id, query_id, first_id, first_rank, second_id, second_rank, jaccard): pairs of different word sets of a search that are alike.
 
-    The order matters (a dropped hit drops no other), so the rule runs as a fold over the ranked array of a
-    search, which ``top`` bounds.
+    A prefix-filtered join: two sets alike to ``threshold`` share one of the first words of each, in order of how
+    few sets of the search hold them; so not all pairs of a search meet.
     """
-    few = ranked(hits).where(F.col("rank") <= top)
-    row = F.struct("rank", "hit_id", word_set(F.coalesce("text", F.lit(""))).alias("w"))
-    lists = few.groupBy(*SEARCH).agg(F.array_sort(F.collect_list(row)).alias("all"))
-
-    def alike(x, y):
-        union = F.size(F.array_union(x["w"], y["w"]))
-        return F.size(F.array_intersect(x["w"], y["w"])) >= threshold * F.when(union > 0, union).otherwise(1)
-
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: alike(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
-    return lists.select(*SEARCH, F.inline(F.transform(kept, lambda x: F.struct(x["rank"].alias("rank"), x["hit_id"].alias("hit_id")))))
+    one = classes.where("hit_id = class_id and size(words) > 0").select(*SEARCH, "class_id", "rank", "words")
+    spread = one.select(*SEARCH, "class_id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    held = spread.withColumn("df", F.count("*").over(Window.partitionBy(*SEARCH, "word")))
+    nth = F.row_number().over(Window.partitionBy(*SEARCH, "class_id").orderBy("df", "word"))
+    prefix = held.withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select(*SEARCH, "class_id", "n", "word")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    met = a.join(b, [*SEARCH, "word"]).where((F.col("a.class_id") < F.col("b.class_id")) & (F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n")))
+    met = met.select(*SEARCH, F.col("a.class_id").alias("x"), F.col("b.class_id").alias("y")).distinct()
+    side = lambda n: one.select(*SEARCH, F.col("class_id").alias(n), F.col("rank").alias(f"{n}_rank"), F.col("words").alias(f"{n}_words"))
+    met = met.join(side("x"), [*SEARCH, "x"]).join(side("y"), [*SEARCH, "y"])
+    alike = F.size(F.array_intersect("x_words", "y_words")) / F.size(F.array_union("x_words", "y_words"))
+    met = met.withColumn("jaccard", alike).where(F.col("jaccard") >= threshold)
+    first = F.col("x_rank") < F.col("y_rank")
+    pick = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+    return met.select(*SEARCH, pick("x", "y").alias("first_id"), pick("x_rank", "y_rank").alias("first_rank"), pick("y", "x").alias("second_id"), pick("y_rank", "x_rank").alias("second_rank"), "jaccard")
+
+
+def similar_hits(hits: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(run_id, query_id, hit_id, class_id, links): each hit with its class of equal word sets and how many other classes of the search are alike (Jaccard)."""
+    classes = word_classes(hits)
+    pairs = similar_classes(classes, threshold)
+    both = pairs.select(*SEARCH, F.col("first_id").alias("class_id")).unionByName(pairs.select(*SEARCH, F.col("second_id").alias("class_id")))
+    links = both.groupBy(*SEARCH, "class_id").agg(F.count("*").alias("links"))
+    return classes.select(*SEARCH, "hit_id", "class_id").join(links, [*SEARCH, "class_id"], "left").na.fill(0, ["links"])
+
+
+def greedy_dedup(hits: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(run_id, query_id, hit_id, rank): the hits of a search without those alike to a better one that stays, in order.
+
+    A dropped hit drops no other. Copies fall to their first; among classes the rule is settled in rounds: a class
+    with no better undecided neighbour stays, its neighbours go. Each round is a kept table; chains of neighbours
+    in order of rank set their number. Hits without words stay, of several of them the first.
+    """
+    scratch = Scratch(hits.sparkSession, "dedup")
+    classes = scratch.keep(word_classes(hits), "classes")
+    open_ = scratch.keep(similar_classes(classes, threshold).select(*SEARCH, "first_id", "second_id"), "pairs")
+    gone = None
+    while not open_.isEmpty():
+        later = open_.select(*SEARCH, F.col("second_id").alias("first_id")).distinct()
+        stay = open_.select(*SEARCH, "first_id").distinct().join(later, [*SEARCH, "first_id"], "left_anti")
+        fall = scratch.keep(open_.join(stay, [*SEARCH, "first_id"], "left_semi").select(*SEARCH, F.col("second_id").alias("class_id")).distinct(), "fall")
+        gone = fall if gone is None else gone.unionByName(fall)
+        rest = open_.join(fall.withColumnRenamed("class_id", "second_id"), [*SEARCH, "second_id"], "left_anti")
+        open_ = scratch.keep(rest.join(fall.withColumnRenamed("class_id", "first_id"), [*SEARCH, "first_id"], "left_anti"), "pairs")
+    first = classes.where("hit_id = class_id").select(*SEARCH, "hit_id", "rank", "class_id")
+    if gone is not None:
+        first = first.join(gone, [*SEARCH, "class_id"], "left_anti")
+    return first.drop("class_id")
 
 
 def dynamic_budget(hits: DataFrame, budget: int = 6000, least: int = 600, top: int = 8) -> DataFrame:

@@ -97,7 +97,7 @@ def _name(c: str) -> str:
 
 
 _U = "CASE WHEN NOT isnan(confidence) AND confidence > 0 AND confidence <= 1 THEN confidence END"
-_W = "CASE extractor_id " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in K.EXTRACTOR_WEIGHTS.items()) + f" ELSE {K.OTHER_WEIGHT}::DOUBLE END"
+_W = "CASE extractor_id WHEN 'deterministic:equivalences-text' THEN 0.95::DOUBLE WHEN 'deterministic:entity-aliases-dict' THEN 0.9::DOUBLE WHEN 'deterministic:doc-cards' THEN 0.7::DOUBLE WHEN 'llm:granite-4.1-3b' THEN 0.85::DOUBLE ELSE 0.5::DOUBLE END"
 _E = f"WITH e AS (SELECT *, {_name('canonical_name')} AS key, {_U} AS p, {_W} AS w FROM entity_claims)"
 _AL = f"WITH a AS (SELECT *, {_name('alias')} AS a, {_name('canonical_name')} AS c, {_U} AS p, {_W} AS w FROM alias_claims)"
 _WT = "least(sum(p * w) / sum(CASE WHEN p IS NOT NULL THEN w END), 1.0::DOUBLE)"
