@@ -53,9 +53,10 @@ def doc_slug(filename: Column) -> Column:
     return F.concat(F.lit("doc:"), slug(F.regexp_replace(filename, r"\.[^.]*$", "")))
 
 
-TOKEN = "[0-9a-záéíóúüñäçèêìïòöàâîôûùß]+(?:[./-][0-9a-záéíóúüñäçèêìïòöàâîôûùß]+)*"
+# Fixed value: words with parts joined by '.', '/' or '-', or whole and decimal numbers. Possessive here, so that long runs need no stack.
+TOKEN = r"[a-zñáéíóúü]++(?:[./-]?[a-z0-9]++)*+|\d++(?:[.,]\d++)?+"
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case words and numbers; parts joined by '.', '/' or '-' stay one token."""
+    """Lower-case words and numbers; parts of a word joined by '.', '/' or '-' stay one token, and so do decimals."""
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))

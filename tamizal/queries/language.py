@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tamizal.functions.text import TOKEN
 from tamizal.operators import language as L
 from tamizal.operators.ranking import SEARCH, ranked
 from tamizal.session import small, table
@@ -71,6 +70,7 @@ QUERIES = {
     "cv_enrich": cv_enrich,
 }
 
+TOKEN = r"[a-zñáéíóúü]+(?:[./-]?[a-z0-9]+)*|\d+(?:[.,]\d+)?"
 _FOLD = r"trim(regexp_replace(lower(strip_accents(%s)), '[\s\x{1c}-\x{1f}\x{85}\pZ]+', ' ', 'g'))"
 
 

@@ -13,7 +13,6 @@ from tamizal.operators import evaluation as V
 from tamizal.operators import language as L
 from tamizal.operators.knowledge import document_role
 from tamizal.operators.ranking import SEARCH, ranked
-from tamizal.operators.retrieval import STOPWORDS
 from tamizal.session import shared_dir, small, table
 from tamizal.sources.corpus import pages_of
 from tamizal.streaming import streams as ST
@@ -44,18 +43,20 @@ def e_citations(s, d):
 
 def e_coverage(s, d):
     """Whether the first hits of a search mention at least half of the question's keywords, one at least."""
-    few = ranked(_hits(s, d)).where("rank <= 10").join(small(_keywords(s, d)), "query_id")
+    few = _hits(s, d).join(small(_keywords(s, d)), "query_id")
     words = few.select(*SEARCH, F.lower(F.coalesce("text", F.lit(""))).alias("t"), F.size("answer_keywords").alias("n"), F.explode("answer_keywords").alias("k"))
     per = words.groupBy(*SEARCH, "n").agg(F.countDistinct(F.when(F.contains("t", F.lower("k")), F.col("k"))).alias("found"))
     return per.withColumn("covered", F.col("found") >= F.greatest(F.lit(1), F.floor(F.col("n") / 2)))
 
 
 def e_entity_evidence(s, d):
-    """Hits whose text has the first and last word of a keyword at most fifty characters apart."""
-    k = _keywords(s, d).select("query_id", F.explode("answer_keywords").alias("k")).where(F.rlike("k", F.lit("^[A-Za-z]+ [A-Za-z ]+$")))
-    m = _hits(s, d).where("text is not null").join(small(k), "query_id")
-    first, last = F.substring_index(F.lower("k"), " ", 1), F.substring_index(F.lower("k"), " ", -1)
-    return m.where(F.rlike(F.lower("text"), F.concat(first, F.lit(".{0,50}"), last))).select("hit_id", "k")
+    """Hits that name an entity claimed in the documents their search found: the whole name, or its first and last word at most fifty characters apart."""
+    c = table(s, d, "entity_claims").select(fold(F.col("canonical_name")).alias("k"), F.explode("evidence").alias("e")).select("k", F.col("e.source_doc_id").alias("canonical_doc_id"))
+    c = c.where(F.rlike("k", F.lit("^[a-z]+( [a-z]+)+$")) & (F.col("k") != "unknown")).distinct()
+    m = _hits(s, d).where("text is not null").select("hit_id", "canonical_doc_id", fold(F.col("text")).alias("t")).join(c, "canonical_doc_id")
+    first, last = F.substring_index("k", " ", 1), F.substring_index("k", " ", -1)
+    near = F.contains("t", first) & F.contains("t", last) & F.rlike("t", F.concat(F.lit(r"\b"), first, F.lit(r"\b.{0,50}\b"), last, F.lit(r"\b")))
+    return m.where(near).select("hit_id", "k", F.contains("t", F.col("k")).cast("int").alias("whole"))
 
 
 def e_latest(s, d):
@@ -105,7 +106,7 @@ QUERIES = {
     "e_coverage": e_coverage,
     "e_entity_evidence": e_entity_evidence,
     "e_latest": e_latest,
-    "e_tokens": lambda s, d: _hits(s, d).where("text is not null").select("hit_id", F.size(F.filter(V.content_words(F.col("text")), lambda w: ~w.isin(*STOPWORDS))).alias("n")),
+    "e_tokens": lambda s, d: _hits(s, d).where("text is not null").select("hit_id", F.size(V.content_tokens(F.col("text"))).alias("n")),
     "j_coerce": j_coerce,
     "k_role_map": lambda s, d: table(s, d, "documents").select(F.coalesce(F.create_map(*[F.lit(x) for kv in TAXONOMY.items() for x in kv])[document_role(F.coalesce("title", F.lit("")))], F.lit("other")).alias("role")).groupBy("role").agg(F.count("*").alias("n")),
     "r_forced_pages": r_forced_pages,
@@ -120,10 +121,11 @@ SQL = {
     "d_centrality": f"""SELECT doc_id, round(least(1.0::DOUBLE, 0.1::DOUBLE + CASE WHEN {_D._HITS_IN(_D._FOLD % "coalesce(title, '')")} > 0 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END + least(0.3::DOUBLE, 0.05::DOUBLE * {_D._HITS_IN("lower(coalesce(text, ''))")})), 6) AS centrality FROM documents""",
     "d_entities": f"SELECT doc_id, array_to_string(list_sort({_D._ENTS})[1:20], '|') AS entities FROM documents",
     "e_citations": r"WITH x AS (SELECT hit_id, count(*) OVER (PARTITION BY run_id, query_id) AS n, list_transform(regexp_extract_all(coalesce(text, '') || ' [Doc ' || (page % 15) || ' p.3]', '\[Doc ([0-9]+)[^\]]*\]', 1), lambda z: CAST(z AS INT)) AS c FROM hits) SELECT hit_id, CAST(len(c) AS INT) AS citations, CAST(len(list_filter(c, lambda z: z >= 1 AND z <= n)) AS INT) AS valid FROM x",
-    "e_coverage": f"WITH {_V._H}, {_K}, x AS (SELECT h.run_id, h.query_id, lower(coalesce(text, '')) AS t, len(answer_keywords) AS n, unnest(answer_keywords) AS k FROM h JOIN k ON h.query_id = k.query_id WHERE rank <= 10), y AS (SELECT run_id, query_id, CAST(n AS INT) AS n, count(DISTINCT CASE WHEN contains(t, lower(k)) THEN k END) AS found FROM x GROUP BY ALL) SELECT *, found >= greatest(1, n // 2) AS covered FROM y",
-    "e_entity_evidence": "WITH k AS (SELECT item_id AS query_id, unnest(answer_keywords) AS k FROM eval_questions) SELECT hit_id, k FROM hits h JOIN k ON h.query_id = k.query_id WHERE regexp_matches(k, '^[A-Za-z]+ [A-Za-z ]+$') AND text IS NOT NULL AND regexp_matches(lower(text), string_split(lower(k), ' ')[1] || '.{0,50}' || string_split(lower(k), ' ')[-1])",
+    "e_coverage": f"WITH {_V._H}, {_K}, x AS (SELECT h.run_id, h.query_id, lower(coalesce(text, '')) AS t, len(answer_keywords) AS n, unnest(answer_keywords) AS k FROM h JOIN k ON h.query_id = k.query_id), y AS (SELECT run_id, query_id, CAST(n AS INT) AS n, count(DISTINCT CASE WHEN contains(t, lower(k)) THEN k END) AS found FROM x GROUP BY ALL) SELECT *, found >= greatest(1, n // 2) AS covered FROM y",
+    "e_entity_evidence": rf"""WITH c AS (SELECT DISTINCT k, e.source_doc_id AS doc FROM (SELECT {_D._FOLD % 'canonical_name'} AS k, unnest(evidence) AS e FROM entity_claims) WHERE regexp_matches(k, '^[a-z]+( [a-z]+)+$')), h AS (SELECT hit_id, canonical_doc_id AS doc, {_D._FOLD % 'text'} AS t FROM hits WHERE text IS NOT NULL)
+SELECT hit_id, k, CAST(contains(t, k) AS INT) AS whole FROM h JOIN c USING (doc) WHERE regexp_matches(t, '\b' || string_split(k, ' ')[1] || '\b.{{0,50}}\b' || string_split(k, ' ')[-1] || '\b')""",
     "e_latest": "SELECT user_id, event_type, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id FROM events GROUP BY ALL",
-    "e_tokens": f"SELECT hit_id, CAST(len(list_filter({_V._WDS % 'text'}, lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in STOPWORDS) + "))) AS INT) AS n FROM hits WHERE text IS NOT NULL",
+    "e_tokens": f"SELECT hit_id, CAST(len({_V._CT % 'text'}) AS INT) AS n FROM hits WHERE text IS NOT NULL",
     "j_coerce": "SELECT claim_id, CASE WHEN claim_id % 2 = 0 THEN entity_types[1] ELSE array_to_string(list_filter(entity_types, lambda x: x IS NOT NULL), '|') END AS types FROM entity_claims WHERE len(entity_types) > 0 AND entity_types[1] IS NOT NULL",
     "k_role_map": f"WITH r AS (SELECT {_D._ROLE} AS r FROM documents) SELECT CASE r " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TAXONOMY.items()) + " ELSE 'other' END AS role, count(*) AS n FROM r GROUP BY 1",
     "r_forced_pages": f"WITH {_V._H}, m AS (SELECT *, CAST(page = 20 AS INT) AS forced FROM h), o AS (SELECT *, row_number() OVER (PARTITION BY run_id, query_id, source, page, substr(text, 1, 120) ORDER BY forced DESC NULLS LAST, rank) AS nth FROM m) SELECT run_id, query_id, hit_id, row_number() OVER (PARTITION BY run_id, query_id ORDER BY forced DESC NULLS LAST, rank) AS place FROM o WHERE nth = 1",

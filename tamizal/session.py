@@ -97,6 +97,15 @@ def size_of(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
-    """The table with a broadcast hint if Spark's statistics (file sizes, carried through the plan) put it within ``limit`` bytes; else as it is, so that the join shuffles."""
-    return F.broadcast(df) if size_of(df) <= limit else df
+def small(df: DataFrame, limit: int = 8 << 20, growth: int = 4) -> DataFrame:
+    """The table with a broadcast hint if Spark's statistics (file sizes, carried through the plan), ``growth`` times, are within ``limit`` bytes; else as it is, so that the join shuffles.
+
+    ``growth`` covers what the statistics don't know: rows in memory against compressed files, and exploded arrays.
+    """
+    return F.broadcast(df) if size_of(df) * growth <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer tasks than cores dealt out over all of them, for costly work on a row; a larger scan as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
