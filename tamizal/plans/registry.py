@@ -1,7 +1,7 @@
 """Versioned publication of artifact builds: publish, promote, roll back, verify, retain, migrate.
 
 Artifacts are parquet tables under ``<root>/builds/<build>/<artifact>``; the small state (builds and which one is
-active) is a JSON file that is replaced by renaming. Only names and checksums pass through the driver.
+active) is a JSON file of its own for each change, so that a crash never loses it. Only names and checksums pass through the driver.
 """
 
 from __future__ import annotations
@@ -33,18 +33,28 @@ class Registry:
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
+    def _states(self) -> list[str]:
+        root = self._path("")
+        found = [f.getPath().getName() for f in self.fs.listStatus(root)] if self.fs.exists(root) else []
+        return sorted(n for n in found if n.startswith("state-") and n.endswith(".json"))
+
     def _load(self) -> dict:
-        path = self._path("state.json")
-        if not self.fs.exists(path):
+        names = self._states()
+        if not names:
             return {"active": None, "builds": {}}
-        return json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.root}/state.json").collect()))
+        return json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.root}/{names[-1]}").collect()))
 
     def _store(self, state: dict) -> None:
-        out = self.fs.create(self._path("state.next"), True)
+        """Writes the next numbered state aside and renames it into place; the one before stays until then."""
+        names = self._states()
+        number = int(names[-1][6:-5]) + 1 if names else 1
+        out = self.fs.create(self._path("_next"), True)
         out.write(bytearray(json.dumps(state, sort_keys=True), "utf-8"))
         out.close()
-        self.fs.delete(self._path("state.json"), False)
-        self.fs.rename(self._path("state.next"), self._path("state.json"))
+        if not self.fs.rename(self._path("_next"), self._path(f"state-{number:09d}.json")):
+            raise OSError(f"state {number} was not stored")
+        for old in names[:-1]:
+            self.fs.delete(self._path(old), False)
 
     def publish(self, build: str, artifacts: dict[str, DataFrame], version: str = "1.0.0") -> dict:
         """Writes a build and its manifest; a build is written once."""
@@ -100,18 +110,24 @@ class Registry:
     def active(self) -> str | None:
         return self._load()["active"]
 
-    def retain(self, keep: int = 5, days: int = 30, now: datetime | None = None) -> list[str]:
-        """Deletes deprecated builds beyond the newest ``keep`` and older than ``days``; returns their names."""
+    def retain(self, keep: int = 5, days: int = 30, now: datetime | None = None) -> dict[str, list[str]]:
+        """Archives deprecated builds beyond the newest ``keep`` (one at least), purges those archived more than ``days`` ago.
+
+        Neither the active build nor the one a rollback would make active is ever touched.
+        """
         state, now = self._load(), now or datetime.now(timezone.utc)
-        old = sorted((b for b, s in state["builds"].items() if s["state"] == "deprecated"), key=lambda b: state["builds"][b]["deprecated_at"], reverse=True)
-        gone = [b for b in old[keep:] if now - datetime.fromisoformat(state["builds"][b]["deprecated_at"]) > timedelta(days=days)]
-        for b in gone:
-            self.fs.delete(self._path(f"builds/{b}"), True)
-            del state["builds"][b]
-        if state.get("previous") in gone:
-            state["previous"] = None
+        safe, builds = {state["active"], state.get("previous")}, state["builds"]
+        old = sorted((b for b, s in builds.items() if s["state"] == "deprecated" and b != state["active"]), key=lambda b: builds[b]["deprecated_at"])
+        archived = [b for b in old[: max(len(old) - max(keep, 1), 0)] if b not in safe]
+        for b in archived:
+            builds[b].update(state="archived", archived_at=now.isoformat())
+        purged = [b for b, s in builds.items() if s["state"] == "archived" and b not in safe and now - datetime.fromisoformat(s["archived_at"]) > timedelta(days=days)]
+        for b in purged:
+            del builds[b]
         self._store(state)
-        return gone
+        for b in purged:  # after the state has forgotten them
+            self.fs.delete(self._path(f"builds/{b}"), True)
+        return {"archived": archived, "purged": purged}
 
 
 class Migrations:

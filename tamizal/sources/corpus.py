@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamizal.functions.text import strip_accents
+from tamizal.session import Scratch
 
 
 def list_files(spark: SparkSession, folder: str, extension: str = "pdf") -> DataFrame:
@@ -78,16 +79,43 @@ def read_front_matter(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select("path", field.alias("field"), F.explode_outer(values).alias("value"))
 
 
-def upsert(target: str, rows: DataFrame, key: str) -> None:
-    """Rows merged into the parquet table at ``target``: equal keys are replaced, bad rows (null key) go to ``target``_quarantine."""
-    spark = rows.sparkSession
-    good, bad = rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
+def upsert(target: str, rows: DataFrame, key: str, buckets: int = 64) -> None:
+    """Rows merged into the parquet table at ``target``: equal keys are replaced, bad rows (null key) go to ``target``_quarantine.
+
+    The table lies in ``buckets`` by a hash of the key; only the buckets that the rows touch are read and written
+    again, and Spark's dynamic overwrite puts each into place after it is written whole.
+    """
+    spark, bucket = rows.sparkSession, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    good, bad = rows.where(F.col(key).isNotNull()).withColumn("bucket", bucket), rows.where(F.col(key).isNull())
     bad.write.mode("append").parquet(f"{target}_quarantine")
+    scratch = Scratch(spark, "upsert")
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        touched = [r["bucket"] for r in good.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
+        old = spark.read.parquet(target).where(F.col("bucket").isin(touched))
+        good = good.unionByName(old.join(good.select(key).distinct(), key, "left_anti"))
+    merged = scratch.keep(good, "merged")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
+    scratch.drop(merged)
+
+
+def build_index(spark: SparkSession, files: list[str], target: str, read, rebuild: bool = False, batch: int = 50) -> int:
+    """Chunks of files written to the table at ``target`` in batches of ``batch`` files; returns how many files were added.
+
+    ``read`` (list of files -> DataFrame with a column ``path``) makes the chunks. Files the table holds already are
+    left out, unless it is built anew. Each batch is one append, so that a broken run goes on where it stopped.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        old = spark.read.parquet(target)
-        good = good.unionByName(old.join(good.select(key), key, "left_anti"))
-    good.write.mode("overwrite").parquet(f"{target}_next")
-    fs.delete(path, True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{target}_next"), path)
+    if rebuild and fs.exists(path):
+        fs.delete(path, True)
+    known = {r["path"] for r in spark.read.parquet(target).select("path").where(F.col("path").isin(files)).distinct().collect()} if fs.exists(path) else set()
+    todo = [f for f in dict.fromkeys(files) if f not in known]
+    for k in range(0, len(todo), batch):
+        read(todo[k : k + batch]).write.mode("append").parquet(target)
+    return len(todo)
+
+
+def cross_references(notes: DataFrame, fields: tuple[str, ...] = ("related", "supersedes")) -> DataFrame:
+    """(value, field, notes): which notes name a value in the given fields of their front matter (path, field, value), in order."""
+    return notes.where(F.col("field").isin(*fields) & F.col("value").isNotNull()).groupBy("value", "field").agg(F.array_sort(F.collect_set("path")).alias("notes"))

@@ -50,7 +50,10 @@ def test_upsert_replaces_and_quarantines(spark, tmp_path):
     target = f"{tmp_path}/t"
     S.upsert(target, spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"), "k")
     S.upsert(target, spark.createDataFrame([("b", 2), (None, 3)], "k string, v int"), "k")
-    assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == [("a", 1), ("b", 2)]
+    before = {str(f) for f in (tmp_path / "t").rglob("*.parquet")}
+    S.upsert(target, spark.createDataFrame([("b", 2)], "k string, v int"), "k")
+    assert sorted(tuple(r) for r in spark.read.parquet(target).select("k", "v").collect()) == [("a", 1), ("b", 2)]
+    assert len(before & {str(f) for f in (tmp_path / "t").rglob("*.parquet")}) == 1  # the other bucket was not written again
     assert spark.read.parquet(f"{target}_quarantine").count() == 1
 
 
@@ -67,8 +70,29 @@ def test_registry_lifecycle(spark, tmp_path):
     assert reg.rollback() == "b1" and reg.resolve("t").count() == 3
     two.write.mode("append").parquet(f"{tmp_path}/reg/builds/b1/t")
     assert reg.verify("b1") == ["t"]
-    assert reg.retain(0, 30, datetime.now(timezone.utc) + timedelta(days=31)) == ["b2"]
-    assert set(reg.builds()) == {"b1"}
+    later = datetime.now(timezone.utc) + timedelta(days=31)
+    assert reg.retain(0, 30, later) == {"archived": [], "purged": []}  # b2 is what a rollback would bring back
+    for b in ("b3", "b4"):
+        reg.publish(b, {"t": one})
+        reg.promote(b)
+    assert reg.active() == "b4" and reg.retain(1, 30) == {"archived": ["b2", "b1"], "purged": []}
+    assert reg.retain(1, 30, later) == {"archived": [], "purged": ["b1", "b2"]}
+    assert set(reg.builds()) == {"b3", "b4"} and reg.rollback() == "b3"
+    assert Registry(spark, f"{tmp_path}/reg").active() == "b3"
+
+
+def test_index_grows_in_batches(spark, tmp_path):
+    read = lambda files: spark.createDataFrame([(f, f"text of {f}") for f in files], "path string, text string")
+    target = f"{tmp_path}/index"
+    assert S.build_index(spark, [f"f{i}" for i in range(5)], target, read, batch=2) == 5
+    assert S.build_index(spark, [f"f{i}" for i in range(7)], target, read, batch=2) == 2
+    assert spark.read.parquet(target).count() == 7
+    assert S.build_index(spark, ["f1"], target, read, rebuild=True) == 1 and spark.read.parquet(target).count() == 1
+
+
+def test_cross_references(spark):
+    notes = spark.createDataFrame([("a", "related", "x"), ("b", "related", "x"), ("b", "title", "y"), ("c", "supersedes", None)], "path string, field string, value string")
+    assert [(r["value"], r["notes"]) for r in S.cross_references(notes).collect()] == [("x", ["a", "b"])]
 
 
 def test_migrations_take_the_shortest_way(spark):
