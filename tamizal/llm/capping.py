@@ -7,8 +7,6 @@ lists, top lists are merged, and whatever leaves or never enters is logged as di
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,53 +22,74 @@ def file_key(c: Column) -> Column:
     return F.when(name != "", name)
 
 
-@dataclass
 class CapState:
-    """kept (key, score, id): the rows each contributor keeps; cutoffs (key, low, last): the place of the last kept row of full contributors."""
-
-    kept: DataFrame | None = None
-    cutoffs: DataFrame | None = None
-
+    """The kept rows of each contributor, persisted in the folder ``home``: (key, score, id, place) in buckets of keys.
 
-def apply_batch(scratch: Scratch, state: CapState, batch: DataFrame, limit: int) -> tuple[CapState, DataFrame]:
-    """One batch (key, score, id) against the state; returns the new state and the displaced rows (id).
-
-    Order within a key: higher score first, null and NaN last, then the smaller id. Only contributors that
-    occur in the batch are merged; the lists of the others stay as they are.
+    The row at place ``limit`` is a contributor's cutoff. A state opened on the same folder goes on where the last
+    batch ended. A batch reads the buckets its keys fall into and writes those anew, as the next version of them;
+    a version counts once its number is committed.
     """
-    rows = batch.where("key is not null")
-    displaced = []
-    if state.cutoffs is not None:
-        met = rows.join(maybe_broadcast(state.cutoffs), "key", "left")
-        beyond = F.coalesce((F.col("score") < F.col("low")) | ((F.col("score") == F.col("low")) & (F.col("id") > F.col("last"))), F.lit(False))
-        rows, late = met.where(~beyond).select("key", "score", "id"), met.where(beyond).select("id")
-        displaced.append(late)
-    touched = None
-    if state.kept is not None:
-        touched = scratch.keep(rows.select("key").distinct(), "touched")
-        rows = rows.unionByName(state.kept.join(maybe_broadcast(touched), "key", "left_semi"))
-    order = Window.partitionBy("key").orderBy(F.col("score").desc(), F.col("id").asc())
-    # rank <= limit lets Spark cut each partition's rows to the limit before the shuffle
-    top = scratch.keep(rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit), "top")
-    cut = scratch.keep(top.where(F.col("place") == limit).select("key", F.col("score").alias("low"), F.col("id").alias("last")), "cutoffs")
-    met = rows.join(maybe_broadcast(cut), "key")
-    displaced.append(met.where((F.col("score") < F.col("low")) | ((F.col("score") == F.col("low")) & (F.col("id") > F.col("last")))).select("id"))
-    kept = top.select("key", "score", "id")
-    if state.kept is not None:
-        kept = kept.unionByName(state.kept.join(maybe_broadcast(touched), "key", "left_anti"))
-        old = state.cutoffs.join(maybe_broadcast(touched), "key", "left_anti")
-        cut = scratch.keep(cut.unionByName(old), "cutoffs")
-    out = displaced[0]
-    for more in displaced[1:]:
-        out = out.unionByName(more)
-    return CapState(kept, cut), out
-
-
-def cap(records: DataFrame, keys: list[Column], score: str, row_id: str, limit: int, batches: list[Column] | None = None) -> DataFrame:
+
+    def __init__(self, scratch: Scratch, limit: int, home: str | None = None, buckets: int = 16):
+        self.scratch, self.limit, self.buckets = scratch, limit, buckets
+        self.home = (home or f"{scratch.root}/state").rstrip("/")
+        self.jvm = scratch.spark._jvm
+        self.fs = self._path("").getFileSystem(scratch.spark._jsc.hadoopConfiguration())
+        marks = self._path("commits")
+        #: the version of each bucket that counts
+        self.versions: dict[int, int] = {}
+        self.batches = 0
+        for f in self.fs.listStatus(marks) if self.fs.exists(marks) else []:
+            number, _, touched = f.getPath().getName().partition("_")
+            self.batches = max(self.batches, int(number))
+            for bucket in filter(None, touched.split("-")):
+                self.versions[int(bucket)] = max(self.versions.get(int(bucket), 0), int(number))
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.home}/{name}" if name else self.home)
+
+    def kept(self, touched: list[int] | None = None) -> DataFrame | None:
+        """The kept rows (key, score, id, place, bucket), of all buckets or of some."""
+        where = [f"{self.home}/kept/batch={v}/bucket={k}" for k, v in sorted(self.versions.items()) if (touched is None or k in touched) and self.fs.exists(self._path(f"kept/batch={v}/bucket={k}"))]
+        return self.scratch.spark.read.option("basePath", f"{self.home}/kept").parquet(*where).drop("batch") if where else None
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Takes in one batch (key, score, id) and returns the displaced rows (id).
+
+        Order within a key: higher score first, null and NaN last, then the smaller id. Rows behind their
+        contributor's cutoff are displaced at once; the others meet the kept lists.
+        """
+        sc = self.scratch
+        rows = sc.keep(batch.where("key is not null").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")), "arrived")
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # ``buckets`` numbers at most
+        before, late = self.kept(touched), None
+        behind = (F.col("score") < F.col("low")) | ((F.col("score") == F.col("low")) & (F.col("id") > F.col("last")))
+        if before is not None:
+            cut = sc.keep(before.where(F.col("place") == self.limit).select("key", F.col("score").alias("low"), F.col("id").alias("last")), "cutoffs")
+            met = rows.join(maybe_broadcast(cut), "key", "left")
+            late = met.where(F.coalesce(behind, F.lit(False))).select("id")
+            rows = met.where(~F.coalesce(behind, F.lit(False))).select("key", "score", "id", "bucket").unionByName(before.select("key", "score", "id", "bucket"))
+        order = Window.partitionBy("bucket", "key").orderBy(F.col("score").desc(), F.col("id").asc())
+        # rank <= limit lets Spark cut each partition's rows to the limit before the shuffle
+        top = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= self.limit)
+        top.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.home}/kept/batch={self.batches + 1}")
+        self.batches += 1
+        self.fs.mkdirs(self._path(f"commits/{self.batches}_{'-'.join(map(str, sorted(touched)))}"))
+        self.versions |= {k: self.batches for k in touched}
+        now = self.kept(touched)
+        if now is None:
+            return rows.select("id").limit(0)
+        cut = sc.keep(now.where(F.col("place") == self.limit).select("key", F.col("score").alias("low"), F.col("id").alias("last")), "cutoffs")
+        gone = rows.join(maybe_broadcast(cut), "key").where(behind).select("id")
+        return gone if late is None else gone.unionByName(late)
+
+
+def cap(records: DataFrame, keys: list[Column], score: str, row_id: str, limit: int, batches: list[Column] | None = None, home: str | None = None) -> DataFrame:
     """(id): the rows that must go so that no contributor keeps more than ``limit``.
 
     ``keys``: what names the contributor; rows with a null key always stay. ``batches``: disjoint conditions
-    that cut the table into arrivals, taken in turn; none means one arrival. Null and NaN scores come last,
+    that cut the table into arrivals, taken in turn; none means one arrival. ``home``: a folder with the state of
+    earlier batches, to go on with. Null and NaN scores come last,
     equal scores keep the smaller id; repeated rows count each. Empty table: empty result. Other columns of any
     name are ignored.
     """
@@ -85,9 +104,9 @@ def cap(records: DataFrame, keys: list[Column], score: str, row_id: str, limit:
     key = F.when(named, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
     # names are made once; what follows reads this narrow table
     rows = scratch.keep(records.select(key.alias("key"), s.alias("score"), F.col(row_id).alias("id"), nth.alias("arrival")).where("key is not null"), "rows")
-    state, gone = CapState(), None
+    state, gone = CapState(scratch, limit, home), None
     for i in range(len(batches or [1])):
-        state, out = apply_batch(scratch, state, rows.where(F.col("arrival") == i).drop("arrival"), limit)
+        out = state.add(rows.where(F.col("arrival") == i).drop("arrival"))
         gone = out if gone is None else gone.unionByName(out)
     return gone
 

@@ -1,10 +1,11 @@
 """Problem 4: deduplicating new batches against all history.
 
 Each increment of the registry probes persisted tables instead of the history itself: blocking keys (content
-hash, name key, name key with one slip corrected) with the entry that stands for the key, and the vocabulary
-of file-name words with its one-deletion neighbourhood. A match through a corrected slip is scored with
+hash, name key, name key with one slip corrected) with the entries that stand for the key, and the vocabulary
+of file-name words with its one-deletion neighbourhood. The tables are append-only and lie in buckets; a batch
+reads the buckets its keys fall into and adds what is new. A match through a corrected slip is scored with
 Fellegi-Sunter weights learned by expectation-maximisation; accepted links run through union-find over cluster
-representatives, so only clusters that a batch touches get a new representative.
+representatives, and only clusters that a batch touches get a new representative.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tamizal.functions.text import fold
 
-from .common import Scratch, maybe_broadcast
+from .common import Buckets, Scratch, maybe_broadcast
 from .components import link, rank_of
 
 # File extensions, and words of place that one slip must never turn into each other.
@@ -89,40 +90,68 @@ def _agree(a: Column, b: Column, within: int) -> Column:
 
 
 class Registry:
-    """Persisted state of the linkage: keys, words, neighbourhoods, members and representatives."""
+    """Linkage with persisted state in the folder ``home``: keys, words, forms of words, and moved representatives.
 
-    def __init__(self, scratch: Scratch):
+    A registry opened on the same folder, in this session or a later one, goes on where the last batch ended.
+    """
+
+    TABLES = {
+        "keys": "key string, guess boolean, entry_id long, pages int, chunks int", "words": "word string, n long",
+        "forms": "word string, form long", "moved": "rep long, root long",
+    }
+
+    def __init__(self, scratch: Scratch, home: str | None = None):
         self.scratch = scratch
-        self.keys: DataFrame | None = None  # key, rep, pages, chunks
-        self.words: DataFrame | None = None  # word, n
-        self.members: list[DataFrame] = []  # entry_id, rep
-        self.moved: DataFrame | None = None  # rep, root
+        self.state = Buckets(scratch.spark, home or f"{scratch.root}/state", self.TABLES)
 
-    def _vocabulary(self, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(word, n, old) after this increment, and (word, other): slips to try for words of this increment."""
+    def _slips(self, entries: DataFrame) -> DataFrame:
+        """(word, other): slips to try for words of this increment; the vocabulary grows by its words."""
+        sc, state = self.scratch, self.state
         fresh = entries.select(F.explode(F.array_distinct("tokens")).alias("word")).where(F.col("word").rlike(r"^\p{L}{2,}$")).groupBy("word").agg(F.count("*").alias("n"))
-        if self.words is None:
-            words = fresh.withColumn("old", F.lit(False)).withColumn("now", F.lit(True))
-        else:
-            words = self.words.select("word", "n", F.lit(True).alias("old"), F.lit(False).alias("now")).unionByName(fresh.withColumn("old", F.lit(False)).withColumn("now", F.lit(True)))
-            words = words.groupBy("word").agg(F.sum("n").alias("n"), F.max("old").alias("old"), F.max("now").alias("now"))
-        words = self.scratch.keep(words, "words")
-        near = words.where(F.length("word") >= 3).withColumn("hash", F.explode(deletions(F.col("word"))))
-        a, b = near.where("now").alias("a"), near.alias("b")
-        both_places = F.col("a.word").isin(*PLACES) & F.col("b.word").isin(*PLACES)
+        fresh = sc.keep(fresh, "fresh")
+        known = state.look_up("words", fresh, "word")
+        now = fresh.withColumn("old", F.lit(False))
+        if known is not None:
+            now = fresh.unionByName(known.select("word", "n")).groupBy("word").agg(F.sum("n").alias("n"), (F.count("*") > 1).alias("old"))
+        now = sc.keep(now, "now")
+        forms = sc.keep(now.where(F.length("word") >= 3).select("word", "old", F.explode(deletions(F.col("word"))).alias("form")), "forms")
+        other = forms.select("form", F.col("word").alias("other"))
+        past = state.look_up("forms", forms, "form")
+        if past is not None:
+            other = other.unionByName(past.select("form", F.col("word").alias("other"))).distinct()
+        both_places = F.col("word").isin(*PLACES) & F.col("other").isin(*PLACES)
+        pairs = sc.keep(forms.select("word", "form").join(other, "form").where(~both_places & one_slip(F.col("word"), F.col("other"))).select("word", "other").distinct(), "near")
+        count = now.select(F.col("word").alias("other"), F.col("n").alias("n_other"), F.col("old").alias("old_other"))
+        asked = pairs.select(F.col("other").alias("word")).distinct().join(now, "word", "left_anti")
+        past = state.look_up("words", asked, "word")
+        if past is not None:
+            count = count.unionByName(past.groupBy("word").agg(F.sum("n").alias("n")).select(F.col("word").alias("other"), F.col("n").alias("n_other"), F.lit(True).alias("old_other")))
         # towards the more usual spelling always; towards any spelling of the history when this word is new
-        useful = (F.col("b.n") >= F.col("a.n")) | (F.col("b.old") & ~F.col("a.old"))
-        slips = (
-            a.join(b, F.col("a.hash") == F.col("b.hash"))
-            .where(useful & ~both_places & one_slip(F.col("a.word"), F.col("b.word")))
-            .select(F.col("a.word").alias("word"), F.col("b.word").alias("other"))
-            .distinct()
-        )
-        return words, self.scratch.keep(slips, "slips")
+        met = pairs.join(now, "word").join(count, "other")
+        slips = sc.keep(met.where("n_other >= n or (old_other and not old)").select("word", "other"), "slips")
+        state.append("words", fresh.select("word", "n"), "word")
+        state.append("forms", forms.where("not old").select("word", "form"), "form")
+        return slips
+
+    def _roots(self, links: DataFrame) -> DataFrame:
+        """(rep, root) of the representatives in ``links`` (entry_id, rep) that earlier batches moved; pointers are followed to their end."""
+        asked, roots = links.select("rep").distinct(), None
+        while True:
+            moved = self.state.look_up("moved", asked, "rep")
+            if moved is None:
+                return roots if roots is not None else links.select("rep", F.col("rep").alias("root")).limit(0)
+            step = self.scratch.keep(moved.groupBy("rep").agg(F.max_by("root", "batch").alias("root")), "step")
+            if step.isEmpty():
+                return roots if roots is not None else step
+            if roots is None:
+                roots = step
+            else:
+                roots = self.scratch.keep(roots.join(maybe_broadcast(step.select(F.col("rep").alias("root"), F.col("root").alias("next"))), "root", "left").select("rep", F.coalesce("next", "root").alias("root")), "roots")
+            asked = step.select(F.col("root").alias("rep")).distinct()
 
     def add(self, batch: DataFrame) -> None:
         """Links one increment (entry_id, content_hash, filename, total_pages, attempted_chunks) to everything before it and to itself."""
-        sc = self.scratch
+        sc, state = self.scratch, self.state
         digest = F.lower(F.regexp_replace(F.trim("content_hash"), r"^.*:", ""))
         empty = (F.coalesce(F.col("attempted_chunks"), F.lit(-1)) == 0) | (F.coalesce(F.col("total_pages"), F.lit(-1)) == 0) | (digest == EMPTY_HASH) | (digest == "")
         entries = sc.keep(
@@ -135,23 +164,23 @@ class Registry:
             ),
             "entries",
         )
-        words, slips = self._vocabulary(entries)
+        slips = self._slips(entries)
         facts = ["entry_id", "pages", "chunks"]
         named = entries.where(F.size("tokens") > 0)
         by_hash = entries.where("digest is not null").select(F.concat(F.lit("h:"), "digest").alias("key"), F.lit(False).alias("guess"), *facts)
         by_name = named.select(F.concat(F.lit("n:"), joined(F.col("tokens"))).alias("key"), F.lit(False).alias("guess"), *facts)
-        spread = named.select("tokens", *facts, F.posexplode("tokens").alias("at", "word"))
-        by_slip = spread.join(maybe_broadcast(slips), "word").select(
+        spread_ = named.select("tokens", *facts, F.posexplode("tokens").alias("at", "word"))
+        by_slip = spread_.join(maybe_broadcast(slips), "word").select(
             F.concat(F.lit("n:"), joined(F.transform("tokens", lambda t, i: F.when(i == F.col("at"), F.col("other")).otherwise(t)))).alias("key"), F.lit(True).alias("guess"), *facts
         )
         probes = sc.keep(by_hash.unionByName(by_name).unionByName(by_slip), "probes")
-        # the stand-in of a key: of the history if it has one, else the smallest entry here; certain keys first
-        own = probes.groupBy("key").agg(F.min(F.struct("guess", "entry_id", "pages", "chunks")).alias("s")).select("key", F.lit(1).alias("age"), "s")
-        if self.keys is not None:
-            before = self.keys.join(own.select("key"), "key", "left_semi")
-            own = own.unionByName(before.select("key", F.lit(0).alias("age"), F.struct("guess", "entry_id", "pages", "chunks").alias("s")))
-            own = own.groupBy("key").agg(F.min(F.struct("age", "s")).alias("x")).select("key", F.col("x.age").alias("age"), F.col("x.s").alias("s"))
-        stands = sc.keep(own.select("key", "age", "s.*"), "stands")
+        # the stand-ins of a key, one that has it for certain and one that is guessed to: of the history if it has one, else the smallest entry here
+        own = probes.groupBy("key", "guess").agg(F.min(F.struct("entry_id", "pages", "chunks")).alias("s")).select("key", "guess", F.lit(1).alias("age"), "s")
+        before = state.look_up("keys", own, "key")
+        if before is not None:
+            own = own.unionByName(before.select("key", "guess", F.lit(0).alias("age"), F.struct("entry_id", "pages", "chunks").alias("s")))
+            own = own.groupBy("key", "guess").agg(F.min(F.struct("age", "s")).alias("x")).select("key", "guess", F.col("x.age").alias("age"), F.col("x.s").alias("s"))
+        stands = sc.keep(own.select("key", "guess", "age", "s.*"), "stands")
         pairs = (
             probes.join(stands.select("key", F.col("guess").alias("guess2"), F.col("entry_id").alias("rep"), F.col("pages").alias("p2"), F.col("chunks").alias("c2")), "key")
             .where("entry_id <> rep")
@@ -160,19 +189,13 @@ class Registry:
         pairs = sc.keep(pairs, "pairs")
         prior, ((pa, pd), (ca, cd)) = self._weights(entries, pairs)
         weight = F.lit(prior) + F.when(F.col("pa") == 1, pa).when(F.col("pa") == 0, pd).otherwise(0.0) + F.when(F.col("ca") == 1, ca).when(F.col("ca") == 0, cd).otherwise(0.0)
-        links = pairs.where(~F.col("guess") | (weight >= 0)).select("entry_id", "rep").distinct()
-        if self.moved is not None:
-            links = links.join(maybe_broadcast(self.moved), "rep", "left").select("entry_id", F.coalesce("root", "rep").alias("rep"))
+        links = sc.keep(pairs.where(~F.col("guess") | (weight >= 0)).select("entry_id", "rep").distinct(), "links")
+        links = links.join(maybe_broadcast(self._roots(links)), "rep", "left").select("entry_id", F.coalesce("root", "rep").alias("rep"))
         links = links.select(rank_of(F.col("entry_id")).alias("a"), rank_of(F.col("rep")).alias("b"))
         solved = link(sc, links, "a", "b").select(F.col("node").cast("long").alias("rep"), F.col("label").cast("long").alias("root")).where("rep <> root")
-        self.members.append(entries.select("entry_id"))
-        if self.moved is not None:
-            carried = self.moved.join(maybe_broadcast(solved.select(F.col("rep").alias("root"), F.col("root").alias("next"))), "root", "left").select("rep", F.coalesce("next", "root").alias("root"))
-            solved = carried.unionByName(solved.join(self.moved.select("rep"), "rep", "left_anti"))
-        self.moved = sc.keep(solved, "moved")
-        fresh = stands.where("age = 1").drop("age")
-        self.keys = fresh if self.keys is None else self.keys.unionByName(fresh)
-        self.words = words.select("word", "n")
+        state.append("moved", solved, "rep")
+        state.append("keys", stands.where("age = 1").drop("age"), "key")
+        state.commit()
 
     def _weights(self, entries: DataFrame, pairs: DataFrame) -> tuple[float, list[tuple[float, float]]]:
         def chance(column: str) -> float:
@@ -184,8 +207,12 @@ class Registry:
         return learn_weights(patterns, (min(3 * chance("pages"), 0.5), chance("chunks")))
 
     def repeats(self) -> DataFrame:
-        """(first_id, entry_id) of every entry that repeats an earlier one."""
-        return self.moved.select(F.col("root").alias("first_id"), F.col("rep").alias("entry_id"))
+        """(first_id, entry_id) of every entry that repeats an earlier one: the moves of all batches, followed to their ends."""
+        moved = self.state.whole("moved")
+        if moved is None:
+            return self.scratch.spark.createDataFrame([], "first_id long, entry_id long")
+        solved = link(self.scratch, moved.select(rank_of(F.col("rep")).alias("a"), rank_of(F.col("root")).alias("b")), "a", "b")
+        return solved.select(F.col("label").cast("long").alias("first_id"), F.col("node").cast("long").alias("entry_id")).where("first_id <> entry_id")
 
 
 def link_batches(registry: DataFrame, increments: list[Column]) -> DataFrame:

@@ -18,19 +18,28 @@ from tamizal.functions.text import fold
 from .common import Scratch, maybe_broadcast
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-RANGES = 128
+#: Documents of one key range of a source, on the average; what one task puts in order.
+RANGE_ROWS = 500_000
 
 
 def count_tokens(documents: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``documents`` (any columns) with ``tokens``: the size of ``text`` in tokens of a public tokenizer; null and empty texts have none."""
+    """``documents`` (any columns) with ``tokens``: the size of ``text`` in tokens of a public tokenizer; null and empty texts have none.
+
+    The file ``tokenizer`` on the driver is shipped to the workers once.
+    """
+    sc = documents.sparkSession.sparkContext
+    sc.addFile(tokenizer)
+    name = tokenizer.rpartition("/")[2]
 
     def run(batches):
         import os
 
+        from pyspark import SparkFiles
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        coder = Tokenizer.from_file(tokenizer)
+        coder = Tokenizer.from_file(SparkFiles.get(name))
         coder.encode_special_tokens = True
         for pdf in batches:
             sizes = [len(e.ids) for k in range(0, len(pdf), 256) for e in coder.encode_batch([t or "" for t in pdf[text].iloc[k : k + 256]], add_special_tokens=False)]
@@ -64,7 +73,10 @@ def mix(documents: DataFrame, targets: DataFrame, quality: Column | None = None,
     ours = ours.select("doc_id", "source", "weight", "text").join(maybe_broadcast(goals.select("source")), "source", "left_semi")
     u = (F.xxhash64(F.lit(seed), "doc_id").bitwiseAND(F.lit((1 << 52) - 1)) + 1) / F.lit(float((1 << 52) + 1))
     sized = scratch.keep(count_tokens(ours, "text", tokenizer).select("doc_id", "source", "tokens", (-F.log(u) / F.col("weight")).alias("key")), "sized")
-    cuts = F.percentile_approx("key", [(i + 1) / RANGES for i in range(RANGES - 1)], 1000)
+    # as many ranges as the largest source needs
+    most = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0  # one number
+    ranges = min(max(16, -(-most // RANGE_ROWS)), 20_000)
+    cuts = F.percentile_approx("key", [(i + 1) / ranges for i in range(ranges - 1)], max(1000, 5 * ranges))
     stock = goals.join(sized.groupBy("source").agg(F.sum("tokens").alias("stock"), cuts.alias("cuts")), "source").where("stock > 0")
     everything = Window.partitionBy()  # one row per source
     stock = stock.withColumn("target_share", F.col("target_share") / F.sum("target_share").over(everything))
