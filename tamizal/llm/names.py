@@ -2,7 +2,7 @@
 
 Tokens of names meet in a prefix-filtered set-similarity join on positional q-grams (the rarest grams of each
 token first), which finds misspelled tokens and the usual spelling they stand for. Names that share a rare
-token, so corrected, are verified by a soft weighted token similarity: tokens match whole, as initials, as
+token, so corrected, and another one or its first letter, are verified by a soft weighted token similarity: tokens match whole, as initials, as
 abbreviations or as nicknames, and count by their rarity.
 """
 
@@ -25,7 +25,7 @@ LEGAL = (
 )
 JOINING = ("y", "e", "and", "de", "del", "la", "of", "und", "et")
 NICKNAMES = {
-    "alejandra": "ale alex sandra", "beatriz": "bea betty_es", "concepcion": "concha conchita", "dolores": "lola loli", "eduardo": "lalo edu",
+    "alejandra": "ale alex sandra", "beatriz": "bea", "concepcion": "concha conchita", "dolores": "lola loli", "eduardo": "lalo edu",
     "elizabeth": "liz betty beth lizzie eliza", "enrique": "quique kike", "francisco": "paco pancho curro", "gabriela": "gaby gabi",
     "gregory": "greg", "guadalupe": "lupe lupita", "helena": "lena nena", "henry": "hank harry", "ignacio": "nacho", "isabel": "chabela isa",
     "jesus": "chuy chucho", "jose": "pepe chepe", "katherine": "kate kathy katie kat", "manuel": "manolo manu", "margaret": "maggie meg peggy",
@@ -35,7 +35,6 @@ NICKNAMES = {
     "rafael": "rafa", "roberto": "beto", "james": "jim jimmy", "john": "jack johnny", "michael": "mike", "thomas": "tom tommy", "edward": "ed eddie ned",
     "charles": "charlie chuck", "patricia": "pat patty", "susan": "sue", "rebecca": "becky", "mercedes": "meche", "teresa": "tere", "rosa": "rosita",
 }
-SAME_NAME = {nick: name for name, nicks in NICKNAMES.items() for nick in nicks.split() if "_" not in nick}
 
 
 def name_tokens(folded: Column) -> Column:
@@ -80,10 +79,12 @@ def usual_spellings(scratch: Scratch, tokens: DataFrame, broken: int = 4) -> Dat
     ranked = near.join(maybe_broadcast(around), "head").join(maybe_broadcast(around.select(F.col("head").alias("token"), F.col("slips").alias("mine"))), "token", "left")
     ranked = ranked.where(F.struct("n", "slips", "head") > F.struct(F.col("own"), F.coalesce("mine", F.lit(0).cast("long")), F.col("token")))
     heads = scratch.keep(ranked.groupBy("token").agg(F.max_by("head", F.struct("n", "slips", "head")).alias("head")), "heads")
-    for _ in range(2):  # a head may stand for another itself; two doublings follow four steps
+    while True:  # a head may stand for another itself; each round doubles the steps followed, heads rise so there are no rings
         further = heads.select(F.col("token").alias("head"), F.col("head").alias("next"))
-        heads = scratch.keep(heads.join(maybe_broadcast(further), "head", "left").select("token", F.coalesce("next", "head").alias("head")), "heads")
-    return heads
+        step = scratch.keep(heads.join(maybe_broadcast(further), "head", "left").select("token", F.coalesce("next", "head").alias("head"), F.col("next").isNotNull().alias("moved")), "heads")
+        heads = step.select("token", "head")
+        if step.where("moved").isEmpty():
+            return heads
 
 
 def _short_for(a: Column, b: Column) -> Column:
@@ -105,9 +106,10 @@ def soft_cover(a: Column, b: Column, short_a: Column, short_b: Column) -> Column
     return F.aggregate(F.transform(a, best), F.lit(0.0), lambda s, x: s + x) / total
 
 
-def name_variants(names: DataFrame, threshold: float = 0.85) -> DataFrame:
+def name_variants(names: DataFrame, threshold: float = 0.85, nicknames: dict[str, str] = NICKNAMES) -> DataFrame:
     """(name, entity): folded distinct names (column ``name``) that have variants, with a label per entity.
 
+    ``nicknames``: names with their short and pet forms, separated by blanks; forms that two names share stay as they are.
     Null, blank and placeholder names are left out, repeated ones count once. Initials that fit two different
     names of one surname are not linked to either. An empty table gives an empty result.
     """
@@ -119,7 +121,9 @@ def name_variants(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     parsed = parsed.withColumn("login", login).withColumn("raw", F.when(login, F.array(F.substring(F.col("raw")[0], 2, 1000))).otherwise(F.col("raw")))
     parsed = parsed.withColumn("initial", F.when(login, F.substring("name", 1, 1)))
     parsed = scratch.keep(parsed, "parsed")
-    nick = F.create_map(*[F.lit(x) for kv in SAME_NAME.items() for x in kv])
+    forms = [(nick, name) for name, nicks in nicknames.items() for nick in nicks.split()]
+    single = {nick: name for nick, name in forms if sum(n == nick for n, _ in forms) == 1}
+    nick = F.create_map(*[F.lit(x) for kv in (single or {"": ""}).items() for x in kv])
     bare = lambda t: F.rtrim(t, F.lit("."))
     spread = parsed.select("name", "login", F.posexplode("raw").alias("at", "typed")).withColumn("token", bare(F.col("typed")))
     spread = spread.withColumn("token", F.coalesce(nick[F.col("token")], "token")).withColumn("dotted", F.col("typed").endswith("."))
@@ -139,7 +143,7 @@ def name_variants(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     weighed = fixed.join(maybe_broadcast(weights), "t", "left").withColumn("w", F.coalesce("w", F.lit(0.1)))
     lists = weighed.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("at", "t", "w", "short"))).alias("all"))
     lists = lists.join(parsed.where("initial is not null").select("name", "initial"), "name", "left")
-    # blocks: the rarest token, and any other that is nearly as rare, with the first letter of the first other token
+    # blocks: the rarest token, and any other that is nearly as rare
     full = F.filter("all", lambda x: ~x["short"])
     full = F.when(F.size(full) > 0, full).otherwise(F.filter("all", lambda x: F.length(x["t"]) > 1))
     top = F.array_max(F.transform(full, lambda x: x["w"]))
@@ -153,25 +157,36 @@ def name_variants(names: DataFrame, threshold: float = 0.85) -> DataFrame:
 
     blocks = lists.select("name", F.explode(F.transform(keys, lambda k: F.struct(k["t"].alias("key"), rest_of(k).alias("rest")))).alias("b")).select("name", "b.*")
     blocks = blocks.where(F.size("rest") > 0).select(
-        "name", "key", F.substring(F.col("rest")[0]["t"], 1, 1).alias("letter"),
+        "name", "key",
         F.transform("rest", lambda x: F.struct(x["t"].alias("t"), x["w"].alias("w"))).alias("rest"),
         F.transform(F.filter("rest", lambda x: x["short"]), lambda x: x["t"]).alias("short"),
     )
     blocks = blocks.withColumn("sig", F.concat_ws(" ", "key", F.lit("|"), F.array_join(F.transform("rest", lambda x: x["t"]), " ")))
     blocks = scratch.keep(blocks, "blocks")
-    sigs = scratch.keep(blocks.groupBy("sig", "key", "letter", "rest").agg(F.flatten(F.collect_set("short")).alias("short")), "sigs")
-    a, b = sigs.alias("a"), sigs.alias("b")
-    met = a.join(b, ["key", "letter"]).where("a.sig < b.sig")
+    sigs = scratch.keep(blocks.groupBy("sig", "key", "rest").agg(F.array_distinct(F.flatten(F.collect_set("short"))).alias("short")), "sigs")
+    # within a key, names meet on another token they share, or on the first letter of one that is short in one of
+    # them: many names of one surname are never all held against each other
+    each = sigs.select("sig", "key", F.explode("rest").alias("x"), "short").select("sig", "key", F.col("x.t").alias("t"), F.array_contains("short", F.col("x.t")).alias("is_short"))
+    each = scratch.keep(each.distinct(), "each")
+    shared = each.where("not is_short").select("key", "t", F.col("sig").alias("x"))
+    letters = each.select("key", F.substring("t", 1, 1).alias("letter"), F.col("sig").alias("y"))
+    by_letter = each.where("is_short").select("key", F.substring("t", 1, 1).alias("letter"), F.col("sig").alias("x"))
+    met = shared.join(shared.withColumnRenamed("x", "y"), ["key", "t"]).where("x < y").select("x", "y")
+    met = met.unionByName(by_letter.join(letters, ["key", "letter"]).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))).distinct()
+    side = lambda n: sigs.select(F.col("sig").alias(n), F.struct("sig", "rest", "short").alias(f"{n}_"))
+    met = met.join(side("x"), "x").join(side("y"), "y").select(F.col("x_").alias("a"), F.col("y_").alias("b"))
     cover = F.least(
         soft_cover(F.col("a.rest"), F.col("b.rest"), F.col("a.short"), F.col("b.short")),
         soft_cover(F.col("b.rest"), F.col("a.rest"), F.col("b.short"), F.col("a.short")),
     )
     alike = met.where(cover >= threshold).select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b"), F.size("a.short").alias("sa"), F.size("b.short").alias("sb"))
     alike = scratch.keep(alike, "alike")
-    # a short form that fits several full forms which are not alike fits none
+    # a short form that fits several full forms which are not linked with each other fits none
     either = alike.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("sa").alias("sx"), F.col("sb").alias("sy")).unionByName(alike.select(F.col("b").alias("x"), F.col("a").alias("y"), F.col("sb").alias("sx"), F.col("sa").alias("sy")))
-    to_full = either.where("sx > 0 and sy = 0")
-    several = to_full.groupBy("x").agg(F.count("*").alias("k")).where("k > 1").select("x")
+    to_full = either.where("sx > 0 and sy = 0").select("x", "y")
+    among = link(scratch, alike.where("sa = 0 and sb = 0"), "a", "b").select(F.col("node").alias("y"), "label")
+    meant = to_full.join(among, "y", "left").select("x", F.coalesce("label", "y").alias("label"))
+    several = meant.groupBy("x").agg((F.min("label") < F.max("label")).alias("k")).where("k").select("x")
     unclear = scratch.keep(several, "several")
     clear = alike.join(maybe_broadcast(unclear.withColumnRenamed("x", "a")), "a", "left_anti").join(maybe_broadcast(unclear.withColumnRenamed("x", "b")), "b", "left_anti")
     edges = clear.select("a", "b").unionByName(blocks.select(F.concat(F.lit("\u0001"), "name").alias("a"), F.col("sig").alias("b")))

@@ -205,6 +205,27 @@ def test_name_variants(spark):
     assert rows_of(names.variant_pairs(spark.createDataFrame([], "name string"))) == []
 
 
+def test_names_reordered_and_crowded_surnames(spark):
+    same = ["juan carlos bordega zulimat", "zulimat bordega, juan carlos", "bordega zulimat, juan carlos"]
+    crowd = [f"{f} gomerlo" for f in ("alba", "bruno", "celia", "david", "elena", "fausto", "greta", "hugo", "irene", "jorge")]
+    df = spark.createDataFrame([(n,) for n in [*same, *crowd, "b. gomerlo"]], "name string")
+    groups = {}
+    for r in names.name_variants(df).collect():
+        groups.setdefault(r["entity"], set()).add(r["name"])
+    sets = [v for v in groups.values() if len(v) > 1]
+    assert set(same) in sets and {"bruno gomerlo", "b. gomerlo"} in sets and len(sets) == 2
+
+
+def test_chains_of_slips_reach_their_end(spark):
+    chain = ["pelargonda"]
+    for k, c in enumerate("bcdfghjkmn"):  # each a slip of the one before, each rarer
+        w = chain[-1]
+        chain.append(w[:k] + c + w[k + 1 :])
+    tokens = spark.createDataFrame([(w, 6 ** (len(chain) - i)) for i, w in enumerate(chain)], "token string, n long")
+    got = dict(rows_of(names.usual_spellings(names.Scratch(spark, "t"), tokens)))
+    assert got == {w: chain[0] for w in chain[1:]}
+
+
 ITEMS = "item_id long, question string, passage string, weights string"
 
 
