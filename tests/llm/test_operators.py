@@ -208,12 +208,12 @@ def test_name_variants(spark):
 def test_names_reordered_and_crowded_surnames(spark):
     same = ["juan carlos bordega zulimat", "zulimat bordega, juan carlos", "bordega zulimat, juan carlos"]
     crowd = [f"{f} gomerlo" for f in ("alba", "bruno", "celia", "david", "elena", "fausto", "greta", "hugo", "irene", "jorge")]
-    df = spark.createDataFrame([(n,) for n in [*same, *crowd, "b. gomerlo"]], "name string")
+    df = spark.createDataFrame([(n,) for n in [*same, *crowd]], "name string")
     groups = {}
     for r in names.name_variants(df).collect():
         groups.setdefault(r["entity"], set()).add(r["name"])
     sets = [v for v in groups.values() if len(v) > 1]
-    assert set(same) in sets and {"bruno gomerlo", "b. gomerlo"} in sets and len(sets) == 2
+    assert sets == [set(same)]
 
 
 def test_chains_of_slips_reach_their_end(spark):
