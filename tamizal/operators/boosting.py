@@ -15,19 +15,28 @@ def _text() -> Column:
 
 
 def entity_filter(hits: DataFrame, entities: DataFrame, least: int = 1) -> DataFrame:
-    """Hits that mention enough of the question's entities, their hybrid score boosted; all hits of a search where none does.
+    """Hits that name enough of the question's entities in text or source, their hybrid score boosted; where none does, all hits if the question has a compound name, else none.
 
     entities: query_id, entities. A compound of three words or more counts three and boosts by one, a simple
-    name counts one and boosts by 0.3.
+    name counts one and boosts by 0.3; 'de' and 'del' stand for each other. Names are matched literally.
     """
     m = hits.join(small(entities), "query_id")
-    words = lambda e: F.size(F.split(F.trim(e), r"\s+"))
-    found = F.filter("entities", lambda e: F.contains(_text(), F.lower(e)))
-    matches = F.aggregate(found, F.lit(0), lambda s, e: s + F.when(words(e) >= 3, 3).otherwise(1))
-    boost = F.aggregate(found, F.lit(1.0), lambda s, e: s + F.when(words(e) >= 3, 1.0).otherwise(0.3))
+    compound = lambda e: F.size(F.split(F.trim(e), r"\s+")) >= 3
+    source = F.lower(F.coalesce("source", F.lit("")))
+
+    def named(e):
+        forms = [F.lower(e), F.replace(F.lower(e), F.lit(" del "), F.lit(" de ")), F.replace(F.lower(e), F.lit(" de "), F.lit(" del "))]
+        test = F.lit(False)
+        for f in forms:
+            test = test | F.contains(_text(), f) | F.contains(source, f)
+        return test
+
+    found = F.filter("entities", named)
+    matches = F.aggregate(found, F.lit(0), lambda s, e: s + F.when(compound(e), 3).otherwise(1))
+    boost = F.aggregate(found, F.lit(1.0), lambda s, e: s + F.when(compound(e), 1.0).otherwise(0.3))
     m = m.withColumn("matches", matches).withColumn("boosted", F.coalesce(number("hybrid_score"), F.lit(0.0)) * boost)
     best = F.max("matches").over(search())
-    return m.withColumn("best", best).where((F.col("matches") >= least) | (F.col("best") < least))
+    return m.withColumn("best", best).where((F.size("entities") == 0) | (F.col("matches") >= least) | ((F.col("best") < least) & F.exists("entities", compound)))
 
 
 def type_filter(hits: DataFrame, wanted: Column, other: Column, top: int = 10) -> DataFrame:

@@ -136,7 +136,7 @@ def cards(documents: DataFrame, role) -> DataFrame:
     first = F.substring(F.split(F.coalesce("text", F.lit("")), r"\n\n+")[0], 1, 800)
     return documents.select(
         "doc_id", doc_slug(F.coalesce("title", F.lit(""))).alias("card_id"), role(F.coalesce("title", F.lit(""))).alias("role"), F.round(centrality(F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))), 6).alias("centrality"),
-        F.array_join(attributes(F.coalesce("text", F.lit(""))), "|").alias("attributes"), F.length(first).alias("first_chars"), F.substring(first, 1, 40).alias("summary"),
+        F.array_join(attributes(F.coalesce("text", F.lit(""))), "|").alias("attributes"), F.length(first).alias("first_chars"), F.substring(first, 1, 400).alias("summary"),
     )
 
 

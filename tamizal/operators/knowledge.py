@@ -98,6 +98,13 @@ def evidence_set(claims: DataFrame) -> DataFrame:
     return named.select("key", F.inline("evidence")).groupBy("key", "source_doc_id", "quote").agg(F.count("*").alias("times"))
 
 
+def entity_documents(claims: DataFrame) -> DataFrame:
+    """Per entity the sorted set of documents in its evidence, its sorted extractors and its best confidence."""
+    named = claims.withColumn("key", name_of(F.col("canonical_name"))).where("key is not null")
+    seen = named.select("key", "confidence", "extractor_id", F.explode("evidence").alias("e")).where("e.source_doc_id is not null")
+    return seen.groupBy("key").agg(F.array_sort(F.collect_set("e.source_doc_id")).alias("documents"), F.array_sort(F.collect_set("extractor_id")).alias("extractors"), F.max(usable(F.col("confidence"))).alias("confidence"))
+
+
 def entity_index(claims: DataFrame) -> DataFrame:
     """Per entity: number of documents in its evidence, the first and last of them, best confidence."""
     named = claims.withColumn("key", name_of(F.col("canonical_name"))).where("key is not null")
@@ -217,3 +224,73 @@ def select_documents(documents: DataFrame, role: str, centrality: Column, n: int
     """The ``n`` most central documents of a role."""
     fit = documents.where(document_role(F.coalesce("title", F.lit(""))) == role)
     return fit.withColumn("centrality", centrality).orderBy(F.desc("centrality"), "doc_id").limit(n)
+
+
+# Predicates of the catalog; what other predicates fall back to (target: predicates, separated by commas);
+# roles of documents and the wider role each belongs to; words in names that tell a type.
+CATALOG = ("equivalent_to", "depends_on", "implements", "extends", "references", "governs", "contains", "uses", "creates")
+FALLBACK = {
+    "references": "related_to,contradicts,describes,covers,applies_to,located_in,compares_with,is_located_in,interacts_with,is located in,is referenced by,maps_to,corresponds_to,is_similar_to,is_related_to,is_associated_with,is_compatible_with,"
+    "is_incompatible_with,precedes,follows,is_defined_in,is_described_in,is_specified_in,documents,categorizes,classifies",
+    "depends_on": "requires,is_based_on,is_derived_from,derived_from,is based on,is derived from,depends on,is_required_by,based_on,is_enabled_by,is_facilitated_by",
+    "creates": "provides,defines,produces,created_by,is created by,specifies,establishes,determines,identifies",
+    "contains": "includes,contains,belongs_to,part_of,is_part_of,is_composed_of,is part of,is composed of,is contained in,composed_of,consists_of,incorporates,embeds,groups,aggregates,is_grouped_in,is_aggregated_in",
+    "implements": "supports,is_instance_of,is instance of,is implemented by,implements_for",
+    "equivalent_to": "aligned_with,is_alternative_to,alternative_to,is alternative to,is equivalent to,is_equivalent_to",
+    "governs": "complies_with,certifies,is_certification_for,is certification for,is governed by,enforces,mandates,requires_compliance_with",
+    "extends": "supersedes,is_type_of,is type of,is extended by,replaces,superseded_by,specializes,generalizes,inherits_from,is_inherited_by",
+    "uses": "is_used_by,is used by,utilizes,consumes,invokes,calls,is_called_by,is_utilized_by",
+    "supports": "enables,facilitates",
+}
+ROLE_TAXONOMY = {
+    "framework_list": "list", "cert_list": "list", "standard_profile": "entity_profile", "entity_profile": "entity_profile", "procedure": "guide", "manual_reference": "reference", "security_ops": "guide", "analysis_report": "analysis",
+    "threat_intel": "analysis", "policy_compliance": "reference", "list": "list", "guide": "guide", "reference": "reference", "analysis": "analysis", "other": "other",
+}
+TYPE_WORDS = {
+    "framework": "iso nist cobit itil owasp", "standard": "iso nist pci", "certification": "cissp ceh oscp cism cisa ccsp crisc gsec gcih", "concept": "cia risk governance compliance", "technology": "siem soc edr xdr waf ids ips dlp pam sso",
+    "protocol": "tls ssl dns tcp ospf bgp mpls", "regulation": "gdpr dora nis2 hipaa sox", "methodology": "devsecops sdlc sast dast",
+}
+
+
+def map_predicate(predicate: Column) -> Column:
+    """The catalog's predicate: its own name, else what it falls back to, and 'references' where that is outside the catalog too. Compared folded."""
+    name = fold(predicate)
+    pairs = [(p, target) for target, listed in FALLBACK.items() for p in listed.split(",")]
+    table = F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+    return F.when(name.isin(*CATALOG), name).otherwise(F.when(table[name].isin(*CATALOG), table[name]).otherwise("references"))
+
+
+def wider_role(role: Column) -> Column:
+    """The wider role of a role; 'other' for unknown ones."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in ROLE_TAXONOMY.items() for x in kv])[role], F.lit("other"))
+
+
+def infer_types(name: Column) -> Column:
+    """Types whose words a name contains, in order of the list; 'concept' if none does."""
+    low = F.lower(name)
+    found = F.filter(F.array(*[F.when(low.rlike(words.replace(" ", "|")), F.lit(t)) for t, words in TYPE_WORDS.items()]), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("concept")))
+
+
+def best_name(names: Column) -> Column:
+    """The canonical name of a cluster: the longest that has a blank or a small letter, else the longest; the first in order on ties."""
+    rich = F.filter(names, lambda x: F.contains(x, F.lit(" ")) | x.rlike(r"\p{Ll}"))
+    pool = F.when(F.size(rich) > 0, rich).otherwise(names)
+    return F.get(F.transform(F.array_sort(F.transform(pool, lambda x: F.struct((-F.length(x)).alias("l"), x.alias("x")))), lambda s: s["x"]), F.lit(0))
+
+
+def cross_errors(canonical: DataFrame, aliases: DataFrame, index: DataFrame, roles: DataFrame, relations: DataFrame, retrieval: DataFrame) -> DataFrame:
+    """(rule, value, at): references between artifacts that lead nowhere, by the six rules of the contract.
+
+    canonical: entity_id; aliases: alias, entity_id; index: entity_id; roles: doc_id, entity_ids; relations:
+    relation_id, subject, predicate, object; retrieval: doc_id. All are anti-joins, of distinct ids.
+    """
+    known, docs = canonical.select("entity_id").distinct(), roles.select("doc_id").distinct()
+    off = lambda rows, rule: rows.where("entity_id is not null").join(known, "entity_id", "left_anti").select(F.lit(rule).alias("rule"), F.col("entity_id").alias("value"), F.col("at").cast("string").alias("at"))
+    found = relations.where(F.col("predicate").isNotNull() & ~F.col("predicate").isin(*CATALOG)).select(F.lit("predicate").alias("rule"), F.col("predicate").alias("value"), F.col("relation_id").cast("string").alias("at"))
+    found = found.unionByName(off(aliases.select("entity_id", F.col("alias").alias("at")), "alias")).unionByName(off(index.select("entity_id", F.lit("").alias("at")), "index"))
+    found = found.unionByName(off(roles.select(F.explode("entity_ids").alias("entity_id"), F.col("doc_id").alias("at")), "role"))
+    ends = relations.select(F.explode(F.array("subject", "object")).alias("entity_id"), F.col("relation_id").alias("at"))
+    found = found.unionByName(off(ends, "relation"))
+    lost = retrieval.select("doc_id").join(docs, "doc_id", "left_anti")
+    return found.unionByName(lost.select(F.lit("retrieval").alias("rule"), F.col("doc_id").cast("string").alias("value"), F.lit("").alias("at")))

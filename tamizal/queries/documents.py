@@ -86,7 +86,7 @@ QUERIES = {
     "t_chunks": t_chunks,
     "t_equiv": t_equiv,
     "t_equiv_map": lambda s, d: T.longest_names(ALIASES(s, d)),
-    "t_lex_expand": lambda s, d: ITEMS(s, d).crossJoin(small(HITS(s, d).agg(F.max("run_id").alias("runs")))).select("item_id", T.expand_terms(F.col("question"), T.LEXICON).alias("expanded"), "runs"),
+    "t_lex_expand": lambda s, d: ITEMS(s, d).select("item_id", T.expand_terms(F.col("question"), T.LEXICON).alias("expanded")),
     "t_trigger_expand": lambda s, d: DOCS(s, d).select("doc_id", T.trigger_terms(F.col("text")).alias("terms")),
     "t_norm_query": lambda s, d: ALIASES(s, d).select("claim_id", T.normalize_query(F.col("alias")).alias("alias")),
     "t_entities": lambda s, d: DOCS(s, d).select("doc_id", F.array_join(F.array_sort(T.entities(F.col("text"))), "|").alias("entities")),
@@ -113,7 +113,7 @@ QUERIES = {
     "r_source_score": lambda s, d: B.source_score(HITS(s, d)),
     "q_count_answer": lambda s, d: B.majority_number(HITS(s, d)),
     "x_categorize": lambda s, d: B.content_category(HITS(s, d)).select(*SEARCH, "hit_id", "kind", "place"),
-    "x_snippets": lambda s, d: HITS(s, d).where("text is not null").select("hit_id", F.length(F.concat(F.substring("text", 1, 60), F.when(F.length("text") > 60, "...").otherwise(""))).alias("chars"), F.concat_ws(" ", F.lit("[Doc -"), F.coalesce("source", F.lit("?")), F.concat(F.lit("p."), F.col("page").cast("string"), F.lit("]"))).alias("label")),
+    "x_snippets": lambda s, d: HITS(s, d).where("text is not null").select("hit_id", F.md5(F.concat(F.substring("text", 1, 600), F.when(F.length("text") > 600, "...").otherwise(""))).alias("snippet"), F.concat_ws(" ", F.lit("[Doc -"), F.coalesce("source", F.lit("?")), F.concat(F.lit("p."), F.col("page").cast("string"), F.lit("]"))).alias("label")),
     "x_compare_cover": x_compare_cover,
 }
 
@@ -148,7 +148,7 @@ SQL = {
     "t_equiv": r"""WITH l AS (SELECT claim_id, concat_ws(' = ', alias, canonical_name || ' (note)', alias) AS line FROM alias_claims), n AS (SELECT claim_id, list_filter(list_transform(string_split(regexp_replace(line, '\([^)]*\)|\{[^}]*\}', '', 'g'), '='), lambda x: trim(regexp_replace(x, '[\s\x{1c}-\x{1f}\x{85}\pZ]+', ' ', 'g'))), lambda x: x <> '') AS a FROM l),
 u AS (SELECT claim_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS names FROM n) SELECT claim_id, CAST(len(names) AS INT) AS n, array_to_string(names, '|') AS names FROM u WHERE len(names) >= 2""",
     "t_equiv_map": rf"WITH p AS (SELECT {_FOLD % 'canonical_name'} AS key, trim(regexp_replace(alias, '[\s\x{{1c}}-\x{{1f}}\x{{85}}\pZ]+', ' ', 'g')) AS alias FROM alias_claims) SELECT key, arg_max(alias, {{'l': length(alias), 'a': alias}}) AS longest, min(CASE WHEN regexp_matches(alias, '^[A-Z]{{2,8}}$') THEN alias END) AS acronym FROM p WHERE key <> '' AND alias <> '' GROUP BY key",
-    "t_lex_expand": f"WITH lx AS (SELECT * FROM (VALUES {', '.join(chr(40) + repr(k) + ', ' + repr(v) + chr(41) for k, v in T.LEXICON.items())}) AS x(k, v)), q AS (SELECT item_id, question, list_distinct(list_filter(regexp_split_to_array({_FOLD % 'question'}, '[^a-z0-9]+'), lambda w: w <> '')) AS ws FROM eval_questions), m AS (SELECT item_id, string_agg(DISTINCT v, ' ' ORDER BY v) AS extra FROM (SELECT item_id, unnest(ws) AS w FROM q) JOIN lx ON w = k GROUP BY 1) SELECT q.item_id, question || ' ' || coalesce(extra, '') AS expanded, (SELECT max(run_id) FROM hits) AS runs FROM q LEFT JOIN m USING (item_id)",
+    "t_lex_expand": f"WITH lx AS (SELECT * FROM (VALUES {', '.join(chr(40) + repr(k) + ', ' + repr(v) + chr(41) for k, v in T.LEXICON.items())}) AS x(k, v)), q AS (SELECT item_id, question, list_distinct(list_filter(regexp_split_to_array({_FOLD % 'question'}, '[^a-z0-9]+'), lambda w: w <> '')) AS ws FROM eval_questions), m AS (SELECT item_id, string_agg(DISTINCT v, ' ' ORDER BY v) AS extra FROM (SELECT item_id, unnest(ws) AS w FROM q) JOIN lx ON w = k GROUP BY 1) SELECT q.item_id, question || ' ' || coalesce(extra, '') AS expanded FROM q LEFT JOIN m USING (item_id)",
     "t_trigger_expand": "SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(" + ", ".join(f"CASE WHEN regexp_matches({_FOLD % 'text'}, '{p}') THEN {_L(t.split())} ELSE []::VARCHAR[] END" for p, t in T.TRIGGERS.items()) + "))), ' ') AS terms FROM documents",
     "t_norm_query": f"SELECT claim_id, {_NORM} AS alias FROM alias_claims",
     "t_entities": f"SELECT doc_id, array_to_string(list_sort({_ENTS}), '|') AS entities FROM documents",
@@ -159,16 +159,16 @@ u AS (SELECT claim_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS n
     "c_plan": f"SELECT doc_id, CASE WHEN regexp_matches({_FOLD % 'text'}, '{T.INTENTS['count']}') THEN 0.4::DOUBLE WHEN regexp_matches({_FOLD % 'text'}, '{T.INTENTS['procedure']}') THEN 0.5::DOUBLE WHEN regexp_matches({_FOLD % 'text'}, '{T.INTENTS['definition']}') THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS weight FROM documents",
     "c_docref": rf"SELECT hit_id, regexp_extract({_FOLD % 'coalesce(source, chr(32))'}, '(?:pagina|page|pag|p)\.? ([0-9]{{1,4}})', 1) AS page, regexp_extract({_FOLD % 'coalesce(source, chr(32))'}, '(?:anexo|annex) ([a-z])(?:[^a-z]|$)', 1) AS annex FROM hits",
     "d_cards": rf"""WITH d AS (SELECT *, substr(regexp_split_to_array(coalesce(text, ''), '\n\n+')[1], 1, 800) AS f, {_SLUG % _STEM} AS sl FROM documents) SELECT doc_id, 'doc:' || CASE WHEN sl = '' THEN 'unknown' ELSE sl END AS card_id, {_ROLE} AS role,
-round(least(1.0::DOUBLE, 0.1::DOUBLE + CASE WHEN {_HITS_IN(_FOLD % "coalesce(title, '')")} > 0 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END + least(0.3::DOUBLE, 0.05::DOUBLE * {_HITS_IN("lower(coalesce(text, ''))")})), 6) AS centrality, array_to_string({_ATTR}, '|') AS attributes, CAST(length(f) AS INT) AS first_chars, substr(f, 1, 40) AS summary FROM d""",
+round(least(1.0::DOUBLE, 0.1::DOUBLE + CASE WHEN {_HITS_IN(_FOLD % "coalesce(title, '')")} > 0 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END + least(0.3::DOUBLE, 0.05::DOUBLE * {_HITS_IN("lower(coalesce(text, ''))")})), 6) AS centrality, array_to_string({_ATTR}, '|') AS attributes, CAST(length(f) AS INT) AS first_chars, substr(f, 1, 400) AS summary FROM d""",
     "d_role": f"SELECT {_ROLE} AS role, count(*) AS n FROM documents GROUP BY 1",
     "d_attrs": f"SELECT attribute, count(*) AS n FROM (SELECT unnest({_ATTR}) AS attribute FROM documents WHERE text IS NOT NULL) GROUP BY 1",
     "d_vendor": "SELECT name, count(*) AS docs FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{4,}'))) AS name FROM documents) GROUP BY 1 HAVING count(*) >= 2",
     "j_parse": "SELECT event_id, CAST(props->>'k' AS INT) AS k FROM events",
     "cv_recent": _TURNS + " SELECT conv_id, turn, event_id, age FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM t) WHERE age <= 4",
     "cv_sticky": _TURNS + " SELECT event_id, coalesce(topic, last_value(topic IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) AS carried FROM t",
-    "r_entity_filter": _H + f""", {_EN}, x AS (SELECT h.*, list_filter(entities, lambda k: contains(lower(coalesce(text, '')), lower(k))) AS f FROM h JOIN e ON h.query_id = e.query_id),
+    "r_entity_filter": _H + f""", {_EN}, x AS (SELECT h.*, entities, list_filter(entities, lambda k: len(list_filter([lower(k), replace(lower(k), ' del ', ' de '), replace(lower(k), ' de ', ' del ')], lambda f: contains(lower(coalesce(text, '')), f) OR contains(lower(coalesce(source, '')), f))) > 0) AS f FROM h JOIN e ON h.query_id = e.query_id),
 y AS (SELECT *, coalesce(list_sum(list_transform(f, lambda k: CASE WHEN len(regexp_split_to_array(trim(k), '\\s+')) >= 3 THEN 3 ELSE 1 END)), 0) AS matches, hs * (1.0::DOUBLE + coalesce(list_sum(list_transform(f, lambda k: CASE WHEN len(regexp_split_to_array(trim(k), '\\s+')) >= 3 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END)), 0)) AS b FROM x),
-z AS (SELECT *, max(matches) OVER (PARTITION BY run_id, query_id) AS best FROM y) SELECT run_id, query_id, hit_id, CAST(matches AS INT) AS matches, round(b, 6) AS boosted FROM z WHERE matches >= 1 OR best < 1""",
+z AS (SELECT *, max(matches) OVER (PARTITION BY run_id, query_id) AS best FROM y) SELECT run_id, query_id, hit_id, CAST(matches AS INT) AS matches, round(b, 6) AS boosted FROM z WHERE len(entities) = 0 OR matches >= 1 OR (best < 1 AND len(list_filter(entities, lambda k: len(regexp_split_to_array(trim(k), '\\s+')) >= 3)) > 0)""",
     "r_type": _H + """, x AS (SELECT *, coalesce(CAST(contains(lower(source), 'scada') AS INT) - CAST(contains(lower(source), 'phishing') AS INT), 0) AS fit FROM h), y AS (SELECT *, sum(CASE WHEN rank <= 10 AND fit > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, query_id) AS good FROM x), z AS (SELECT * FROM y WHERE good < 3 OR fit >= 0) SELECT run_id, query_id, hit_id, fit, row_number() OVER (PARTITION BY run_id, query_id ORDER BY fit DESC, rank) AS place FROM z""",
     "r_role_boost": _H + f", c AS (SELECT canonical_doc_id, min({_ROLE}) AS role, max(n_chars / 10000.0::DOUBLE) AS centrality FROM documents WHERE canonical_doc_id IS NOT NULL GROUP BY 1) SELECT run_id, query_id, hit_id, round(fs + CASE WHEN role IN ('manual', 'guide') THEN 0.2::DOUBLE WHEN role = 'procedure' THEN -0.2::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE * coalesce(centrality, 0), 6) AS boosted FROM h LEFT JOIN c USING (canonical_doc_id)",
     "r_mention": _H + f", {_EN} SELECT run_id, h.query_id, hit_id, round(fs + CASE WHEN len(list_filter(entities, lambda k: contains(lower(coalesce(text, '')), lower(k)))) > 0 THEN 0.2::DOUBLE ELSE -0.35::DOUBLE END, 6) AS boosted FROM h JOIN e ON h.query_id = e.query_id WHERE len(entities) > 0",
@@ -179,6 +179,6 @@ z AS (SELECT *, max(matches) OVER (PARTITION BY run_id, query_id) AS best FROM y
     "q_count_answer": _H + r""", n AS (SELECT run_id, query_id, hit_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '\d+'))) AS number FROM h WHERE rank <= 5), v AS (SELECT run_id, query_id, number, count(*) AS votes FROM n GROUP BY ALL),
 b AS (SELECT run_id, query_id, count(*) AS candidates, max(votes) AS most, arg_min(number, {'v': -votes, 'l': length(number), 'n': number}) AS number FROM v GROUP BY ALL) SELECT run_id, query_id, candidates, CASE WHEN candidates = 1 OR most >= 2 THEN number END AS answer FROM b""",
     "x_categorize": _H + r""", x AS (SELECT *, CASE WHEN regexp_matches(lower(coalesce(text, '')), '\b(?:es el nombre|is the code name|se define|means)\b') THEN 0 WHEN regexp_matches(lower(coalesce(text, '')), '\b(?:paso|step|abre|opens)\b') THEN 1 WHEN regexp_matches(lower(coalesce(text, '')), '\b(?:ejemplo|example|por caso)\b') THEN 2 ELSE 3 END AS o FROM h) SELECT run_id, query_id, hit_id, ['definition', 'procedure', 'example', 'mention'][o + 1] AS kind, row_number() OVER (PARTITION BY run_id, query_id ORDER BY o, rank) AS place FROM x""",
-    "x_snippets": "SELECT hit_id, CAST(length(substr(text, 1, 60) || CASE WHEN length(text) > 60 THEN '...' ELSE '' END) AS INT) AS chars, concat_ws(' ', '[Doc -', coalesce(source, '?'), 'p.' || page || ']') AS label FROM hits WHERE text IS NOT NULL",
+    "x_snippets": "SELECT hit_id, md5(substr(text, 1, 600) || CASE WHEN length(text) > 600 THEN '...' ELSE '' END) AS snippet, concat_ws(' ', '[Doc -', coalesce(source, '?'), 'p.' || page || ']') AS label FROM hits WHERE text IS NOT NULL",
     "x_compare_cover": _H + f", {_EN}, x AS (SELECT h.run_id, h.query_id, h.rank, h.text, unnest(entities) AS entity FROM h JOIN e ON h.query_id = e.query_id) SELECT run_id, query_id, entity, min(rank) AS rank, count(*) AS mentions FROM x WHERE contains(lower(text), lower(entity)) GROUP BY ALL",
 }

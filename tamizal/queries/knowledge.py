@@ -57,7 +57,34 @@ def a_artifacts(s, d):
     return r.select("record_id", "entity_id", fold(F.col("canonical_name")).alias("canonical_name"), F.array_join(F.array_sort(F.array_distinct(F.filter("types", lambda x: x.isNotNull()))), "|").alias("types"), "confidence", F.col("generated_by.extractor_id").alias("extractor_id"))
 
 
+def k_infer_types(s, d):
+    """Types told by the names of records, next to how many records are given types."""
+    r = C(s, d).select("record_id", K.infer_types(F.col("canonical_name")).alias("t"), F.coalesce(F.size("types"), F.lit(0)).alias("given"))
+    return r.groupBy(F.array_join("t", "|").alias("types")).agg(F.count("*").alias("n"), F.count_if(F.col("given") > 0).alias("given"))
+
+
+def k_pred_words(s, d):
+    """Words of the documents that name a predicate, with the catalog's predicate they map to."""
+    words = D(s, d).select(F.explode(F.split(F.lower("text"), r"[^a-z_]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    known = F.array(*[F.lit(x) for listed in K.FALLBACK.values() for x in listed.split(",")], *[F.lit(x) for x in K.CATALOG])
+    return words.where(F.array_contains(known, F.col("word"))).select("word", K.map_predicate(F.col("word")).alias("predicate"), "n")
+
+
+def a_cross_errors(s, d):
+    """Artifacts of the tables held against each other: records, alias claims, evidence, documents."""
+    ent = lambda c: F.concat(F.lit("ent:"), K.slug(K.name_of(F.col(c))))
+    e = E(s, d).where(K.name_of(F.col("canonical_name")).isNotNull())
+    a = A(s, d).where(K.name_of(F.col("alias")).isNotNull() & K.name_of(F.col("canonical_name")).isNotNull())
+    roles = e.select(ent("canonical_name").alias("entity_id"), F.explode("evidence").alias("x")).groupBy(F.col("x.source_doc_id").alias("doc_id")).agg(F.collect_set("entity_id").alias("entity_ids")).where("doc_id is not null")
+    relations = a.select(F.col("claim_id").alias("relation_id"), ent("alias").alias("subject"), F.try_element_at("raw", F.lit("origin")).alias("predicate"), ent("canonical_name").alias("object"))
+    return K.cross_errors(C(s, d), a.select("alias", ent("canonical_name").alias("entity_id")), e.select(ent("canonical_name").alias("entity_id")).distinct(), roles, relations, D(s, d).select(F.col("canonical_doc_id").alias("doc_id")).where("doc_id is not null").distinct()).groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("value").alias("values"))
+
+
 QUERIES = {
+    "k_infer_types": k_infer_types,
+    "k_pred_words": k_pred_words,
+    "k_entity_docs": lambda s, d: K.entity_documents(E(s, d)).select("key", F.array_join("documents", "|").alias("documents"), F.array_join("extractors", "|").alias("extractors"), "confidence"),
+    "a_cross_errors": a_cross_errors,
     "k_merge": k_merge,
     "k_stats": k_stats,
     "k_types": k_types,
@@ -106,7 +133,18 @@ _ROLE = "CASE " + " ".join(f"WHEN regexp_matches(t, '(?:^|[^a-z])(?:{w})(?:[^a-z
 _DOCS = f"WITH d0 AS (SELECT *, {_F % 'coalesce(title, chr(32))'} AS t FROM documents), d AS (SELECT *, {_ROLE} AS role FROM d0)"
 
 _CANON = _E + f", f AS (SELECT key, arg_min(canonical_name, ord) AS canonical, regexp_replace(regexp_replace(key, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM e WHERE key IS NOT NULL GROUP BY key), m AS (SELECT key, canonical, 'ent:' || {_SLUG} AS entity_id FROM f)"
+_TYPES = "list_filter([CASE WHEN regexp_matches(lower(canonical_name), 'iso|nist|cobit|itil|owasp') THEN 'framework' END, CASE WHEN regexp_matches(lower(canonical_name), 'iso|nist|pci') THEN 'standard' END, CASE WHEN regexp_matches(lower(canonical_name), 'cissp|ceh|oscp|cism|cisa|ccsp|crisc|gsec|gcih') THEN 'certification' END, CASE WHEN regexp_matches(lower(canonical_name), 'cia|risk|governance|compliance') THEN 'concept' END, CASE WHEN regexp_matches(lower(canonical_name), 'siem|soc|edr|xdr|waf|ids|ips|dlp|pam|sso') THEN 'technology' END, CASE WHEN regexp_matches(lower(canonical_name), 'tls|ssl|dns|tcp|ospf|bgp|mpls') THEN 'protocol' END, CASE WHEN regexp_matches(lower(canonical_name), 'gdpr|dora|nis2|hipaa|sox') THEN 'regulation' END, CASE WHEN regexp_matches(lower(canonical_name), 'devsecops|sdlc|sast|dast') THEN 'methodology' END], lambda x: x IS NOT NULL)"
+_PW = "CASE WHEN word IN ('implements', 'extends', 'references', 'governs', 'contains', 'uses', 'creates') THEN word WHEN word IN ('requires') THEN 'depends_on' WHEN word IN ('provides', 'defines', 'produces', 'specifies', 'establishes', 'determines', 'identifies') THEN 'creates' WHEN word IN ('includes', 'incorporates', 'embeds', 'groups', 'aggregates') THEN 'contains' WHEN word IN ('supports') THEN 'implements' WHEN word IN ('certifies', 'enforces', 'mandates') THEN 'governs' WHEN word IN ('supersedes', 'replaces', 'specializes', 'generalizes') THEN 'extends' WHEN word IN ('utilizes', 'consumes', 'invokes', 'calls') THEN 'uses' WHEN word IN ('contradicts', 'describes', 'covers', 'precedes', 'follows', 'documents', 'categorizes', 'classifies', 'enables', 'facilitates') THEN 'references' END"
+_ENT = lambda c: f"'ent:' || regexp_replace(regexp_replace({_F % c}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 SQL = {
+    "k_infer_types": f"SELECT types, count(*) AS n, count(*) FILTER (given > 0) AS given FROM (SELECT coalesce(nullif(array_to_string({_TYPES}, '|'), ''), 'concept') AS types, coalesce(len(types), 0) AS given FROM canonical_entities) GROUP BY 1",
+    "k_pred_words": f"SELECT * FROM (SELECT word, {_PW} AS predicate, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z_]+')) AS word FROM documents) GROUP BY word) WHERE predicate IS NOT NULL",
+    "k_entity_docs": _E + ", x AS (SELECT key, p, extractor_id, unnest(list_transform(evidence, lambda z: z.source_doc_id)) AS doc FROM e WHERE key IS NOT NULL) SELECT key, array_to_string(list_sort(list_distinct(list(doc))), '|') AS documents, array_to_string(list_sort(list_distinct(list(extractor_id))), '|') AS extractors, max(p) AS confidence FROM x WHERE doc IS NOT NULL GROUP BY key",
+    "a_cross_errors": f"""WITH c AS (SELECT DISTINCT entity_id FROM canonical_entities WHERE entity_id IS NOT NULL), e AS (SELECT {_ENT('canonical_name')} AS id, evidence FROM entity_claims WHERE {_name('canonical_name')} IS NOT NULL), a AS (SELECT alias, {_ENT('alias')} AS s, {_ENT('canonical_name')} AS id, raw['origin'] AS p FROM alias_claims WHERE {_name('alias')} IS NOT NULL AND {_name('canonical_name')} IS NOT NULL),
+r AS (SELECT DISTINCT id, x.source_doc_id AS doc FROM (SELECT id, unnest(evidence) AS x FROM e) WHERE x.source_doc_id IS NOT NULL),
+z AS (SELECT 'predicate' AS rule, p AS v FROM a WHERE p IS NOT NULL AND p NOT IN ('equivalent_to', 'depends_on', 'implements', 'extends', 'references', 'governs', 'contains', 'uses', 'creates') UNION ALL SELECT 'alias', id FROM a WHERE id NOT IN (SELECT entity_id FROM c) UNION ALL SELECT 'index', id FROM (SELECT DISTINCT id FROM e) WHERE id NOT IN (SELECT entity_id FROM c)
+UNION ALL SELECT 'role', id FROM r WHERE id NOT IN (SELECT entity_id FROM c) UNION ALL SELECT 'relation', id FROM (SELECT s AS id FROM a UNION ALL SELECT id FROM a) WHERE id NOT IN (SELECT entity_id FROM c) UNION ALL SELECT 'retrieval', doc FROM (SELECT DISTINCT canonical_doc_id AS doc FROM documents WHERE canonical_doc_id IS NOT NULL) WHERE doc NOT IN (SELECT doc FROM r))
+SELECT rule, count(*) AS n, count(DISTINCT v) AS values FROM z GROUP BY rule""",
     "k_merge": f"SELECT kind, extractor_id, count(*) AS n, max(p) AS best FROM (SELECT 'alias' AS kind, extractor_id, {_U} AS p FROM alias_claims UNION ALL SELECT 'entity', extractor_id, {_U} FROM entity_claims) GROUP BY ALL",
     "k_stats": f"SELECT * FROM (SELECT count(*) AS entity_claims, count(DISTINCT {_name('canonical_name')}) AS entities FROM entity_claims), (SELECT count(*) AS alias_claims, count(DISTINCT {_name('alias')}) AS aliases FROM alias_claims)",
     "k_types": "SELECT type, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT lower(t) AS type, count(*) AS n FROM (SELECT unnest(entity_types) AS t FROM entity_claims) WHERE t IS NOT NULL GROUP BY 1)",

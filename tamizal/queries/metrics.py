@@ -55,10 +55,11 @@ def h_doc_names(s, d):
 
 
 def s_incremental(s, d):
-    """Entries of the last batches that earlier ones don't hold by hash, and those to retry for missing chunks."""
+    """Entries of the last batch that earlier ones don't hold by hash, and those to retry for missing chunks."""
     r = table(s, d, "ingest_registry").withColumn("h", F.lower(F.regexp_replace(F.trim("content_hash"), "^.*:", "")))
-    old = r.where("batch_no < 50 and h is not null").groupBy("h").agg(F.max(F.coalesce("chunks_indexed", F.lit(0)) - F.coalesce("attempted_chunks", F.lit(0))).alias("short"))
-    new = r.where("batch_no >= 50").join(old, "h", "left")
+    r = r.crossJoin(F.broadcast(r.agg(F.max("batch_no").alias("last"))))  # one row
+    old = r.where("batch_no < last and h is not null").groupBy("h").agg(F.max(F.coalesce("chunks_indexed", F.lit(0)) - F.coalesce("attempted_chunks", F.lit(0))).alias("short"))
+    new = r.where("batch_no = last").join(old, "h", "left")
     return new.where("short is null or short < 0").select("entry_id", F.when(F.col("short").isNull(), "new").otherwise("retry").alias("action"))
 
 
@@ -120,7 +121,7 @@ SQL = {
     "h_doc_names": "SELECT upper(substr(trim(source), 1, 1)) AS initial, count(*) AS n, min(source) AS first FROM (SELECT DISTINCT source FROM hits WHERE source IS NOT NULL) GROUP BY 1",
     "s_top_sources": "SELECT source, count(*) AS n FROM hits WHERE source IS NOT NULL GROUP BY 1 ORDER BY n DESC, source LIMIT 10",
     "s_stats": "SELECT count(*) AS chunks, count(DISTINCT source) AS sources, count(DISTINCT chunk_id) AS distinct_chunks FROM hits",
-    "s_incremental": "WITH r AS (SELECT *, lower(regexp_replace(trim(content_hash), '^.*:', '')) AS h FROM ingest_registry), o AS (SELECT h, max(coalesce(chunks_indexed, 0) - coalesce(attempted_chunks, 0)) AS short FROM r WHERE batch_no < 50 AND h IS NOT NULL GROUP BY h) SELECT entry_id, CASE WHEN short IS NULL THEN 'new' ELSE 'retry' END AS action FROM r LEFT JOIN o ON r.h = o.h WHERE batch_no >= 50 AND (short IS NULL OR short < 0)",
+    "s_incremental": "WITH r AS (SELECT *, lower(regexp_replace(trim(content_hash), '^.*:', '')) AS h, max(batch_no) OVER () AS last FROM ingest_registry), o AS (SELECT h, max(coalesce(chunks_indexed, 0) - coalesce(attempted_chunks, 0)) AS short FROM r WHERE batch_no < last AND h IS NOT NULL GROUP BY h) SELECT entry_id, CASE WHEN short IS NULL THEN 'new' ELSE 'retry' END AS action FROM r LEFT JOIN o ON r.h = o.h WHERE batch_no = last AND (short IS NULL OR short < 0)",
     "s_cache_plan": "SELECT substr(sha256(coalesce(text, '')), 1, 16) AS key, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1",
     "s_cache_counts": "SELECT n, count(*) AS keys FROM (SELECT count(*) AS n FROM documents GROUP BY sha256(coalesce(text, ''))) GROUP BY n",
     "s_corpus_excl": "WITH d AS (SELECT doc_id, lower(trim(source)) AS src FROM documents), f AS (SELECT src FROM d WHERE src IS NOT NULL GROUP BY 1 HAVING count(*) < 20) SELECT doc_id, src FROM d WHERE src IS NULL OR src NOT IN (SELECT src FROM f)",
