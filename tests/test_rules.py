@@ -126,3 +126,13 @@ def test_dedup_matches_the_sequential_rule(spark):
                 kept.append(w)
                 want.add(r[2])
     assert {r["hit_id"] for r in R.greedy_dedup(spark.createDataFrame(rows, HIT)).collect()} == want
+
+
+def test_budgets_are_handed_out_in_turn(spark):
+    rows = [(1, 1, k, f"s{k}.pdf", 1, "x" * size, 0.0, 0.0, 1.0 - k / 10) for k, size in enumerate((3000, 100, 5000, 200), 1)]
+    got = {r["hit_id"]: r["chars"] for r in R.dynamic_budget(spark.createDataFrame(rows, HIT), budget=2000, least=600).collect()}
+    used, want = 0, {}
+    for k, size in enumerate((3000, 100, 5000, 200), 1):
+        want[k] = min(max(600, (2000 - used) // (4 - k + 1)), size)
+        used += want[k]
+    assert got == want
