@@ -149,9 +149,10 @@ def classify(template: Column) -> Column:
     lorem = F.size(F.filter(words, lambda w: w.isin(*LOREM)))
     opens = lambda cues: template.rlike(_START + f"(?:{cues})")
     monotone = (F.size(F.array_distinct(words)) * 2 <= F.size(words)) & (F.size(words) >= 5)
+    blank = (F.size(words) >= 5) & (F.array_max(words) == "<slot>") & (F.array_min(words) == "<slot>")
     mashed = F.size(F.filter(words, keyboard_run)) * 5 >= F.size(words) * 4
     return (
-        F.when(((lorem >= 3) & (lorem * 2 >= n)) | (monotone & plain.rlike(REPEATED)) | ((F.size(words) >= 3) & mashed), "filler")
+        F.when(((lorem >= 3) & (lorem * 2 >= n)) | (monotone & plain.rlike(REPEATED)) | ((F.size(words) >= 3) & mashed) | blank, "filler")
         .when(opens(FILLER), "filler")
         .when(opens(NOTICES), "notice")
         .when(opens(ERRORS), "error")
@@ -188,16 +189,17 @@ def residue(documents: DataFrame, outline_least: int = 3, short: int = 4) -> Dat
 
     A document goes if a segment of it is a notice, an error or filler text, if at least ``outline_least``
     segments are names of empty outline parts and these are most of it, if a slot stands open, or if at least
-    half of it are sentences that speak to a reader about a page that fails, in templates that stand in no
-    document of more than ``short`` segments. Segments of any length are judged. Null and empty texts have no
+    half of its segments or of its characters are sentences that speak to a reader about a page that fails, in templates
+    that stand in no document of more than ``short`` segments. Segments of any length are judged. Null and empty texts have no
     rows; copies count each; other columns are ignored.
     """
     scratch = Scratch(documents.sparkSession, "residue")
     both = let(prepared(F.col("text")), lambda t: F.struct(F.split(t, "\n").alias("segment"), F.split(masked(t), "\n").alias("masked")))
     lines = spread(documents.where("text is not null").select("doc_id", "text")).select("doc_id", both.alias("b"))
     size = F.size(F.filter("b.masked", lambda x: x != ""))
-    parts = lines.select("doc_id", size.alias("size"), F.inline(F.arrays_zip("b.segment", "b.masked"))).where("masked <> ''")
-    parts = scratch.keep(parts.select("doc_id", "size", "masked", F.when(F.col("masked").contains("<slot>"), F.col("segment")).alias("segment")), "parts")
+    length = F.aggregate("b.masked", F.lit(0), lambda n, x: n + F.length(x))
+    parts = lines.select("doc_id", size.alias("size"), length.alias("length"), F.inline(F.arrays_zip("b.segment", "b.masked"))).where("masked <> ''")
+    parts = scratch.keep(parts.select("doc_id", "size", "length", "masked", F.when(F.col("masked").contains("<slot>"), F.col("segment")).alias("segment")), "parts")
     opened = open_slots(parts.where("segment is not null").select("doc_id", "segment"))
     templates = mine_templates(scratch, parts)
     kind = F.coalesce(classify(F.col("template")), F.when((F.col("longest") <= short) & message_like(F.col("template")), "message"))
@@ -205,10 +207,11 @@ def residue(documents: DataFrame, outline_least: int = 3, short: int = 4) -> Dat
     verdicts = scratch.keep(templates.join(maybe_broadcast(scratch.keep(kinds, "kinds")), "template").select("masked", "kind"), "verdicts")
     judged = parts.join(maybe_broadcast(verdicts), "masked")
     by_doc = judged.groupBy("doc_id").agg(
-        F.max("size").alias("all"), F.count_if(F.col("kind") == "outline").alias("outline"), F.count_if(F.col("kind") == "message").alias("message"),
+        F.max("size").alias("all"), F.max("length").alias("length"), F.count_if(F.col("kind") == "outline").alias("outline"), F.count_if(F.col("kind") == "message").alias("message"),
+        F.sum(F.when(F.col("kind") == "message", F.length("masked"))).alias("told"),
         F.max(F.when(~F.col("kind").isin("outline", "message"), F.col("kind"))).alias("kind"),
     )
     empty = (F.col("outline") >= outline_least) & (F.col("outline") * 2 > F.col("all"))
-    kind = F.coalesce("kind", F.when(empty, "outline"), F.when(F.col("message") * 2 >= F.col("all"), "error"))
+    kind = F.coalesce("kind", F.when(empty, "outline"), F.when((F.col("message") * 2 >= F.col("all")) | (F.col("told") * 2 >= F.col("length")), "error"))
     found = by_doc.select("doc_id", kind.alias("kind")).where("kind is not null")
     return found.unionByName(opened.withColumn("kind", F.lit("slot"))).groupBy("doc_id").agg(F.max("kind").alias("kind"))

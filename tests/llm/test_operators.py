@@ -307,9 +307,10 @@ def test_residue_of_other_wording_and_length(spark):
         (4, "Sorry, this content isn't available right now."), (5, long_notice), (6, "Dear [Name of customer], we write about {{topic}}."), (7, "Review date: ________"), (8, "zxcv asdf qwer hjkl asd"),
         (9, "The harbor crew replaced the pump. The valve is open. The log is complete. The new shift waits. When the page that you need is gone, the keeper writes a note."),
         (10, "Scripts under ${HOME}/bin run at night. Status TBD is not accepted by the tracker."), (11, "Approved by: the audit office"),
+        (12, "Home > Files\nxxx xxx xxx xxx xxx xxx\nHome > Files"), (13, "Loading... If nothing happens, allow JS for this domain.\n© Portal. All rights reserved"),
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert {r["doc_id"] for r in residue.residue(df).collect()} == {1, 2, 3, 4, 5, 6, 7, 8}
+    assert {r["doc_id"] for r in residue.residue(df).collect()} == {1, 2, 3, 4, 5, 6, 7, 8, 12, 13}
 
 
 TOKENIZER = mixing.TOKENIZER
