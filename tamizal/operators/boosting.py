@@ -48,21 +48,45 @@ def type_filter(hits: DataFrame, wanted: Column, other: Column, top: int = 10) -
     return m.withColumn("place", F.row_number().over(search(F.desc("fit"), F.asc("rank"))))
 
 
-def role_boost(hits: DataFrame, cards: DataFrame, preferred: list[str], bonus: float = 0.2, central: float = 0.1, penalty: float = 0.2) -> DataFrame:
-    """Hits with a score for the role and centrality of their document.
+# Parts of file names of procedures.
+PROCEDURAL_SOURCES = ("pt_", " pt", "pt ", "manual", "procedim", "instructivo")
 
-    cards: canonical_doc_id, role, centrality. Documents without a card keep their score.
+
+def role_boost(hits: DataFrame, cards: DataFrame, preferred: list[str], attribute: str | None = None, specific: DataFrame | None = None, bonus: float = 0.2, central: float = 0.1, holds: float = 0.15, penalty: float = 0.2) -> DataFrame:
+    """Hits with a score for the role, centrality and attributes of their document.
+
+    cards: canonical_doc_id, role, centrality, attributes (read only with ``attribute``). Documents without a card
+    keep their score. specific: query_id of the questions that name an entity and ask for no procedure, where
+    procedures lose ``penalty``; without it all do.
     """
     m = hits.join(cards, "canonical_doc_id", "left")
-    score = F.coalesce(number("final_score"), F.lit(0.0)) + F.when(F.col("role").isin(*preferred), bonus).when(F.col("role") == "procedure", -penalty).otherwise(0.0) + central * F.coalesce("centrality", F.lit(0.0))
-    return m.withColumn("boosted", score)
+    if specific is None:
+        m = m.withColumn("specific", F.lit(True))
+    else:
+        m = m.join(small(specific.select("query_id").distinct().withColumn("specific", F.lit(True))), "query_id", "left")
+    score = F.coalesce(number("final_score"), F.lit(0.0)) + F.when(F.col("role").isin(*preferred), bonus).otherwise(0.0) + central * F.greatest(F.coalesce("centrality", F.lit(0.0)), F.lit(0.0))
+    if attribute is not None:
+        score += F.when(F.array_contains("attributes", attribute), holds).otherwise(0.0)
+    return m.withColumn("boosted", score - F.when((F.col("role") == "procedure") & F.col("specific"), penalty).otherwise(0.0)).drop("specific")
+
 
+def mention_boost(hits: DataFrame, entities: DataFrame, up: float = 0.2, down: float = 0.35, annex: str = "anexo d", annex_up: float = 0.5, procedural: float = 0.4) -> DataFrame:
+    """Hits of questions with entities, up if text or source mentions one, down if not.
 
-def mention_boost(hits: DataFrame, entities: DataFrame, up: float = 0.2, down: float = 0.35) -> DataFrame:
-    """Hits of questions with entities, up if the text mentions one, down if not."""
+    Hits of the annex gain ``annex_up`` with a mention and lose ``procedural`` without; hits of procedures lose
+    ``procedural`` in any case.
+    """
     m = hits.join(small(entities.where("size(entities) > 0")), "query_id")
-    mentions = F.exists("entities", lambda e: F.contains(_text(), F.lower(e)))
-    return m.withColumn("boosted", F.coalesce(number("final_score"), F.lit(0.0)) + F.when(mentions, up).otherwise(-down))
+    source = F.lower(F.coalesce("source", F.lit("")))
+    whole = F.concat_ws(" ", _text(), source)
+    mentions = F.exists("entities", lambda e: F.contains(whole, F.lower(e)))
+    steps = F.lit(False)
+    for part in PROCEDURAL_SOURCES:
+        steps = steps | F.contains(source, F.lit(part))
+    m = m.withColumn("mentions", F.coalesce(mentions, F.lit(False)))
+    change = F.when(F.col("mentions"), up).otherwise(-down) - F.when(steps, procedural).otherwise(0.0)
+    change += F.when(F.contains(source, F.lit(annex)), F.when(F.col("mentions"), annex_up).otherwise(-procedural)).otherwise(0.0)
+    return m.withColumn("boosted", F.coalesce(number("final_score"), F.lit(0.0)) + change).drop("mentions")
 
 
 def exact_boost(hits: DataFrame, entities: DataFrame, up: float = 0.6, conflict: float = 0.5) -> DataFrame:

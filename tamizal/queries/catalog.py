@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, evaluation, knowledge, language, metrics, ranking, rest, retrieval
+from . import documents, evaluation, knowledge, language, metrics, questions, ranking, rest, retrieval
 
 FLAGSHIP = "r_hybrid"
 
-_MODULES: tuple = (ranking, retrieval, knowledge, evaluation, metrics, documents, language, rest)
+_MODULES: tuple = (ranking, retrieval, knowledge, evaluation, metrics, documents, language, questions, rest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

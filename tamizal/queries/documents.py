@@ -8,6 +8,7 @@ from tamizal.functions.text import doc_slug, fold, slug
 from tamizal.operators import boosting as B
 from tamizal.operators import documents as T
 from tamizal.operators.knowledge import ROLES, document_role
+from tamizal.operators.questions import question_flags
 from tamizal.operators.ranking import SEARCH
 from tamizal.session import small, table
 
@@ -24,8 +25,14 @@ def _entities(s, d):
 
 
 def _cards(s, d):
-    c = DOCS(s, d).where("canonical_doc_id is not null").select("canonical_doc_id", document_role(F.coalesce("title", F.lit(""))).alias("role"), (F.col("n_chars") / 10000.0).alias("centrality"))
-    return c.groupBy("canonical_doc_id").agg(F.min("role").alias("role"), F.max("centrality").alias("centrality"))
+    c = DOCS(s, d).where("canonical_doc_id is not null").select("canonical_doc_id", document_role(F.coalesce("title", F.lit(""))).alias("role"), (F.col("n_chars") / 10000.0).alias("centrality"), T.attributes(F.coalesce("text", F.lit(""))).alias("attributes"))
+    return c.groupBy("canonical_doc_id").agg(F.min("role").alias("role"), F.max("centrality").alias("centrality"), F.array_distinct(F.flatten(F.collect_set("attributes"))).alias("attributes"))
+
+
+def _specific(s, d):
+    """Questions that name an entity and ask for no procedure."""
+    procedural = question_flags(F.col("question"), F.array().cast("array<string>"))["procedural"]
+    return ITEMS(s, d).where((F.size("answer_keywords") > 0) & ~procedural).select(F.col("item_id").alias("query_id"))
 
 
 def _entity_docs(s, d):
@@ -105,7 +112,7 @@ QUERIES = {
     "cv_sticky": lambda s, d: T.sticky(_turns(s, d), "topic").select("event_id", "carried"),
     "r_entity_filter": lambda s, d: B.entity_filter(HITS(s, d), _entities(s, d)).select(*SEARCH, "hit_id", "matches", F.round("boosted", 6).alias("boosted")),
     "r_type": lambda s, d: B.type_filter(HITS(s, d), F.lower("source").contains("scada"), F.lower("source").contains("phishing")).select(*SEARCH, "hit_id", "fit", "place"),
-    "r_role_boost": lambda s, d: B.role_boost(HITS(s, d), _cards(s, d), ["manual", "guide"]).select(*SEARCH, "hit_id", F.round("boosted", 6).alias("boosted")),
+    "r_role_boost": lambda s, d: B.role_boost(HITS(s, d), _cards(s, d), ["manual", "guide"], "risk", _specific(s, d)).select(*SEARCH, "hit_id", F.round("boosted", 6).alias("boosted")),
     "r_mention": lambda s, d: B.mention_boost(HITS(s, d), _entities(s, d)).select(*SEARCH, "hit_id", F.round("boosted", 6).alias("boosted")),
     "r_exact": lambda s, d: B.exact_boost(HITS(s, d), _entities(s, d)).select(*SEARCH, "hit_id", F.round("boosted", 6).alias("boosted")),
     "r_two_stage": lambda s, d: B.two_stage(HITS(s, d), _entity_docs(s, d)).select(*SEARCH, "hit_id", "of_entity", "gate", F.round("boosted", 6).alias("boosted")),
@@ -170,8 +177,12 @@ round(least(1.0::DOUBLE, 0.1::DOUBLE + CASE WHEN {_HITS_IN(_FOLD % "coalesce(tit
 y AS (SELECT *, coalesce(list_sum(list_transform(f, lambda k: CASE WHEN len(regexp_split_to_array(trim(k), '\\s+')) >= 3 THEN 3 ELSE 1 END)), 0) AS matches, hs * (1.0::DOUBLE + coalesce(list_sum(list_transform(f, lambda k: CASE WHEN len(regexp_split_to_array(trim(k), '\\s+')) >= 3 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END)), 0)) AS b FROM x),
 z AS (SELECT *, max(matches) OVER (PARTITION BY run_id, query_id) AS best FROM y) SELECT run_id, query_id, hit_id, CAST(matches AS INT) AS matches, round(b, 6) AS boosted FROM z WHERE len(entities) = 0 OR matches >= 1 OR (best < 1 AND len(list_filter(entities, lambda k: len(regexp_split_to_array(trim(k), '\\s+')) >= 3)) > 0)""",
     "r_type": _H + """, x AS (SELECT *, coalesce(CAST(contains(lower(source), 'scada') AS INT) - CAST(contains(lower(source), 'phishing') AS INT), 0) AS fit FROM h), y AS (SELECT *, sum(CASE WHEN rank <= 10 AND fit > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, query_id) AS good FROM x), z AS (SELECT * FROM y WHERE good < 3 OR fit >= 0) SELECT run_id, query_id, hit_id, fit, row_number() OVER (PARTITION BY run_id, query_id ORDER BY fit DESC, rank) AS place FROM z""",
-    "r_role_boost": _H + f", c AS (SELECT canonical_doc_id, min({_ROLE}) AS role, max(n_chars / 10000.0::DOUBLE) AS centrality FROM documents WHERE canonical_doc_id IS NOT NULL GROUP BY 1) SELECT run_id, query_id, hit_id, round(fs + CASE WHEN role IN ('manual', 'guide') THEN 0.2::DOUBLE WHEN role = 'procedure' THEN -0.2::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE * coalesce(centrality, 0), 6) AS boosted FROM h LEFT JOIN c USING (canonical_doc_id)",
-    "r_mention": _H + f", {_EN} SELECT run_id, h.query_id, hit_id, round(fs + CASE WHEN len(list_filter(entities, lambda k: contains(lower(coalesce(text, '')), lower(k)))) > 0 THEN 0.2::DOUBLE ELSE -0.35::DOUBLE END, 6) AS boosted FROM h JOIN e ON h.query_id = e.query_id WHERE len(entities) > 0",
+    "r_role_boost": _H + f""", c AS (SELECT canonical_doc_id, min({_ROLE}) AS role, max(n_chars / 10000.0::DOUBLE) AS centrality, bool_or(regexp_matches(coalesce(text, ''), 'risk|riesgo')) AS risk FROM documents WHERE canonical_doc_id IS NOT NULL GROUP BY 1),
+i AS (SELECT item_id AS query_id FROM eval_questions WHERE len(answer_keywords) > 0 AND NOT regexp_matches(lower(coalesce(question, '')), 'como|cómo|procedimiento|proceso|pasos para|forma de|manera de|modo de|instrucciones para|protocolo|reset|reiniciar|configurar|instalar|operar'))
+SELECT run_id, h.query_id, hit_id, round(fs + CASE WHEN role IN ('manual', 'guide') THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE * coalesce(centrality, 0) + CASE WHEN risk THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN role = 'procedure' AND i.query_id IS NOT NULL THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END, 6) AS boosted
+FROM h LEFT JOIN c USING (canonical_doc_id) LEFT JOIN i ON h.query_id = i.query_id""",
+    "r_mention": _H + f""", {_EN}, m AS (SELECT run_id, h.query_id, hit_id, fs, lower(coalesce(source, '')) AS src, len(list_filter(entities, lambda k: contains(lower(coalesce(text, '')) || ' ' || lower(coalesce(source, '')), lower(k)))) > 0 AS men FROM h JOIN e ON h.query_id = e.query_id WHERE len(entities) > 0)
+SELECT run_id, query_id, hit_id, round(fs + (CASE WHEN men THEN 0.2::DOUBLE ELSE -0.35::DOUBLE END - CASE WHEN regexp_matches(src, 'pt_| pt|pt |manual|procedim|instructivo') THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN NOT contains(src, 'anexo d') THEN 0.0::DOUBLE WHEN men THEN 0.5::DOUBLE ELSE -0.4::DOUBLE END), 6) AS boosted FROM m""",
     "r_exact": _H + f", {_EN} SELECT run_id, h.query_id, hit_id, round(fs + CASE WHEN len(list_filter(entities, lambda k: contains(lower(coalesce(source, '')), lower(k)))) > 0 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN len(list_filter(entities, lambda k: {_ROM('k')} <> '' AND {_ROM('source')} <> '' AND {_ROM('k')} <> {_ROM('source')})) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END, 6) AS boosted FROM h JOIN e ON h.query_id = e.query_id WHERE len(entities) > 0",
     "r_two_stage": _H + """, x AS (SELECT *, CAST(coalesce(starts_with(canonical_doc_id, 'doc:anexo'), false) AS INT) AS of_entity FROM h), y AS (SELECT *, coalesce(max(CASE WHEN of_entity = 1 THEN hs END) OVER q >= 0.5::DOUBLE * max(hs) OVER q, false) AS gate FROM x WINDOW q AS (PARTITION BY run_id, query_id)) SELECT run_id, query_id, hit_id, of_entity, gate, round(hs * CASE WHEN gate AND of_entity = 1 THEN 1.25::DOUBLE ELSE 1.0::DOUBLE END, 6) AS boosted FROM y""",
     "r_in_doc": _H + """, x AS (SELECT *, abs(page - 20) AS far FROM h WHERE contains(lower(source), 'manual')), y AS (SELECT *, coalesce(max(CAST(far = 0 AS INT)) OVER (PARTITION BY run_id, query_id), 0) AS exact FROM x) SELECT run_id, query_id, hit_id, far, exact, round(fs * CASE WHEN page > 1 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END, 6) AS boosted FROM y WHERE (exact = 1 AND far = 0) OR (exact = 0 AND far <= 3)""",

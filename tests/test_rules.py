@@ -136,3 +136,52 @@ def test_budgets_are_handed_out_in_turn(spark):
         want[k] = min(max(600, (2000 - used) // (4 - k + 1)), size)
         used += want[k]
     assert got == want
+
+
+def test_kinds_of_questions(spark):
+    from tamizal.operators import questions as Q
+
+    want = {
+        "Explica en detalle el documento de respaldo": {"detailed", "doc_explanation"}, "lista de controles de acceso": {"listing"}, "Dame una lista completa de 20 palabras con todo": {"detailed", "multi_document"},
+        "¿cómo funciona una bomba en general?": {"conceptual", "procedural"}, "y su alarma": {"follow_up"}, "Diferencia entre Norte y Sur": {"multi_document", "comparison", "direct_comparison"},
+        "cuantos requisitos hay en total": {"multi_document", "aggregation", "specific_count", "sum", "follow_up"} - {"follow_up"}, "¿Cuántos motores tiene Presa?": {"simple_numeric"}, "por qué falla la bomba": {"multi_document", "troubleshooting"},
+        "revisa cada documento": {"multi_document", "full_coverage"},
+    }
+    rows = [(t, ["Presa"] if "Presa" in t else []) for t in want] + [(None, None), ("", [])]
+    df = spark.createDataFrame(rows, "t string, e array<string>")
+    got = {r["t"]: {k for k, v in r.asDict().items() if v is True} for r in df.select("t", *[c.alias(n) for n, c in Q.question_flags(F.col("t"), F.col("e")).items()]).collect()}
+    assert {t: got[t] for t in want} == want and got[None] == got[""] == set()
+
+
+def test_gate_of_factual_questions(spark):
+    from tamizal.operators import questions as Q
+
+    pad = " The rest of this context is long enough."
+    rows = [
+        ("What is the price of the valve?", "The valve costs USD 40." + pad, "precio", "evidence"), ("What is the price of the valve?", "price: 40 a valve" + pad, "precio", "pass"), ("price?", "40 USD", "precio", "short"),
+        ("What does RFC 2119 say?", "As in RFC 8174." + pad, "rfc", "rfc"), ("What does RFC 2119 say?", "As in RFC 2119." + pad, "rfc", "pass"), ("precio de la bomba norte?", "Vale $ 30." + pad, "precio", "subject"),
+        ("precio de la bomba norte?", "La bomba vale $ 30." + pad, "precio", "pass"), ("Which pump runs?", None, None, None), (None, "x", None, None), ("cve?", None, "cve", "short"), ("How many employees?", "About 45 employees." + pad, "empleados", "pass"),
+    ]
+    got = spark.createDataFrame(rows, "q string, c string, t string, v string").select(Q.factual_type(F.col("q")).alias("type"), Q.factual_verdict(F.col("q"), F.col("c")).alias("verdict"), "t", "v").collect()
+    assert [(r["type"], r["verdict"]) for r in got] == [(r["t"], r["v"]) for r in got]
+
+
+def test_several_documents(spark):
+    from tamizal.operators import questions as Q
+
+    hits = [(1, q, 10 * q + i, s, None, "t", 0.0, r, 1.0 - i / 10) for q, n in ((1, 0.5), (2, 0.1), (3, 0.5), (4, 0.1), (5, 0.5)) for i, (s, r) in enumerate((("a", 0.1), ("b", 0.1 + n), ("c", None)))]
+    asked = [(1, "which pump", None, False), (2, "which pump", None, False), (3, "instalar la bomba", None, False), (4, "alarma y protocolo", ["x", "y"], True), (5, "alarma tras protocolo", ["x", "y"], None)]
+    got = Q.several_documents(spark.createDataFrame(hits, HIT), spark.createDataFrame(asked, "query_id long, question string, roles array<string>, one_annex boolean")).collect()
+    assert {r["query_id"]: r["reason"] for r in got} == {1: None, 2: "spread", 3: "procedure", 4: None, 5: "aspects"}
+
+
+def test_scores_by_role_and_mention(spark):
+    from tamizal.operators import boosting as B
+
+    hits = spark.createDataFrame([(1, q, 10 * q + i, s, None, t, 0.0, 0.0, 1.0) for q in (1, 2) for i, (s, t) in enumerate((("Anexo D.pdf", "the Presa pump"), ("anexo d.pdf", "x"), ("Manual Presa.pdf", "x"), (None, None)))], HIT)
+    ents = spark.createDataFrame([(1, ["presa"]), (2, [])], "query_id long, entities array<string>")
+    assert {r["hit_id"]: round(r["boosted"], 6) for r in B.mention_boost(hits, ents).collect()} == {10: 1.7, 11: 0.25, 12: 0.8, 13: 0.65}
+    docs = hits.withColumn("canonical_doc_id", F.col("source"))
+    cards = spark.createDataFrame([("Anexo D.pdf", "guide", 0.5, ["risk"]), ("anexo d.pdf", "procedure", 0.0, []), ("Manual Presa.pdf", "other", None, None)], "canonical_doc_id string, role string, centrality double, attributes array<string>")
+    got = B.role_boost(docs, cards, ["guide"], attribute="risk", specific=spark.createDataFrame([(1,)], "query_id long"))
+    assert {r["hit_id"]: round(r["boosted"], 6) for r in got.collect()} == {10: 1.4, 11: 0.8, 12: 1.0, 13: 1.0, 20: 1.4, 21: 1.0, 22: 1.0, 23: 1.0}
