@@ -5,13 +5,10 @@ Word lists are parameters; the defaults suit the project's own domain.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamizal.functions.text import doc_slug, fold, squeeze
+from tamizal.functions.text import BLANKS, doc_slug, fold, squeeze
 
 # Default parameters: words that mark intents, domains, attributes; and words of one language for the other's.
 INTENTS = {
@@ -36,29 +33,24 @@ def token_chunks(documents: DataFrame, size: int = 350, overlap: int = 50) -> Da
     return cut.select("doc_id", "chunk_index", F.size(piece).alias("tokens"), F.array_join(piece, " ").alias("text"))
 
 
-def fold_chunks(text: str, budget: int) -> list[str]:
-    """Paragraphs filled into chunks of at most ``budget`` characters; longer paragraphs go sentence by sentence."""
-    chunks, held = [], ""
-    for paragraph in filter(None, (p.strip() for p in re.split(r"\n+", text))):
-        parts = [paragraph] if len(paragraph) <= budget else re.split(r"(?<=[.!?])\s+", paragraph)
-        for part in parts:
-            if held and len(held) + 1 + len(part) > budget:
-                chunks.append(held)
-                held = part
-            else:
-                held = f"{held} {part}" if held else part
-    return [*chunks, held] if held else chunks
-
-
 def semantic_chunks(documents: DataFrame, budget: int = 1000) -> DataFrame:
-    """(doc_id, chunk_index, text): paragraph and sentence chunks; the fold runs in Arrow batches, one text at a time."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(i, k, c) for i, t in zip(pdf["doc_id"], pdf["text"]) for k, c in enumerate(fold_chunks(t or "", budget))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text"])
-
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, text string")
+    """(doc_id, chunk_index, text): paragraphs filled into chunks of at most ``budget`` characters; longer paragraphs go sentence by sentence, longer sentences stay whole.
+
+    Null and blank texts have no chunks.
+    """
+    outer = rf"^{BLANKS}|{BLANKS}$"
+    paragraphs = F.transform(F.split(F.coalesce("text", F.lit("")), "\n+"), lambda p: F.regexp_replace(p, outer, ""))
+    parts = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= budget, F.array(p)).otherwise(F.split(p, f"(?<=[.!?]){BLANKS}"))))
+    split = documents.select("doc_id", F.filter(parts, lambda p: p != "").alias("parts")).where("size(parts) > 0")
+
+    def fill(state, part):
+        full = F.length(state["held"]) + 1 + F.length(part) > budget
+        done = F.when(full, F.concat(state["done"], F.array(state["held"]))).otherwise(state["done"])
+        return F.struct(done.alias("done"), F.when(full, part).otherwise(F.concat_ws(" ", state["held"], part)).alias("held"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.col("parts")[0].alias("held"))
+    chunks = F.aggregate(F.slice("parts", 2, F.size("parts")), start, fill, lambda st: F.concat(st["done"], F.array(st["held"])))
+    return split.select("doc_id", F.posexplode(chunks).alias("chunk_index", "text"))
 
 
 def chunk_ids(chunks: DataFrame, name: Column) -> DataFrame:

@@ -58,6 +58,53 @@ def clean_answer(text: Column) -> Column:
     return F.array_join(F.filter(kept, lambda x: x != ""), "\n")
 
 
+def first_that_fit(parts: Column, limit: int, gap: int) -> Column:
+    """How many parts from the first on fit into ``limit`` characters, each with ``gap`` more; none after the first that doesn't."""
+
+    def add(state, part):
+        n = state["used"] + F.length(part) + gap
+        fits = state["open"] & (n <= limit)
+        return F.struct(F.when(fits, n).otherwise(state["used"]).alias("used"), (state["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open")), add, lambda st: st["n"])
+
+
+def condense(text: Column, limit: int = 600) -> Column:
+    """A text of more than ``limit`` characters cut to its first whole paragraphs; to its first characters where none fits."""
+    parts = F.filter(F.transform(F.split(text, "\n\n"), lambda p: F.btrim(p, F.lit(" \t\r\n"))), lambda p: p != "")
+    n = first_that_fit(parts, limit, 2)
+    return F.when(F.length(text) <= limit, text).when(n > 0, F.array_join(F.slice(parts, 1, n), "\n\n")).otherwise(F.substring(text, 1, limit))
+
+
+def cut_safely(text: Column, limit: int = 1000, least: int = 300) -> Column:
+    """A text of more than ``limit`` characters cut after whole lines if it lists steps, else after a sentence in its second half, else with an ellipsis. Null becomes empty."""
+    text = F.coalesce(text, F.lit(""))
+    lines = F.split(text, "\r\n|\n|\r")
+    steps = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*(?:[0-9]+\s*[.)-]|[-*•])\s+\S"))) >= 2
+    kept = F.rtrim(F.array_join(F.slice(lines, 1, F.greatest(first_that_fit(lines, limit, 1), F.lit(1))), "\n"))
+    whole = F.when(steps & (F.length(lines[0]) < limit) & (kept != ""), kept)
+    cut = F.substring(text, 1, limit)
+    sentence = F.regexp_extract(cut, r"(?s)^(.*[.!?])", 1)
+    tidy = lambda c: F.btrim(c, F.lit(" \t\r\n"))
+    short = F.when(F.length(sentence) > max(least, limit // 2), tidy(sentence)).otherwise(F.concat(tidy(cut), F.lit("…")))
+    return F.when(F.length(text) <= limit, text).otherwise(F.coalesce(whole, short))
+
+
+def lists_steps(text: Column) -> Column:
+    """Whether two lines at least are numbered or marked steps of five characters or more."""
+    return F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x).rlike(r"^(?:[0-9]+[.)]|[-*•])\s+.{5,}"))) >= 2, F.lit(False))
+
+
+# Words of procedures.
+STEP_WORDS = ("paso", "step", "procedimiento", "procedure", "instruccion", "instrucción", "protocolo", "configurar", "instalar", "ejecutar")
+
+
+def procedure_backed(context: Column, least: int = 2) -> Column:
+    """Whether a context of cited passages '[Doc 1 - file p.2]' holds a word of procedures and names ``least`` files."""
+    files = F.array_distinct(F.regexp_extract_all(context, F.lit(r"\[Doc [0-9]+ - (.+?) p\.[0-9]+\]"), F.lit(1)))
+    return F.coalesce((F.size(files) >= least) & F.lower(context).rlike("|".join(STEP_WORDS)), F.lit(False))
+
+
 def glossary(documents: DataFrame, terms: DataFrame, n: int = 10) -> DataFrame:
     """(doc_id, term, place): the first ``n`` terms (term, lower case words) that a document uses, in order."""
     words = documents.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))

@@ -130,6 +130,10 @@ _N = lambda c: f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END"
 _H = f"""WITH h0 AS (SELECT hit_id, run_id, query_id, text, source, page, canonical_doc_id, coalesce({_N('hybrid_score')}, 0) AS hs, coalesce({_N('final_score')}, 0) AS fs, {_N('final_score')} AS final_score FROM hits),
 h AS (SELECT *, row_number() OVER (PARTITION BY run_id, query_id ORDER BY final_score DESC NULLS LAST, hit_id) AS rank FROM h0)"""
 _EN = "e AS (SELECT item_id AS query_id, coalesce(answer_keywords, []::VARCHAR[]) AS entities FROM eval_questions)"
+_FILL = lambda n: rf"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(flatten(list_transform(list_transform(regexp_split_to_array(coalesce(text, ''), '\n+'), lambda x: regexp_replace(x, '^[\s\pZ\x{{1c}}-\x{{1f}}\x{{85}}]+|[\s\pZ\x{{1c}}-\x{{1f}}\x{{85}}]+$', '', 'g')),
+lambda x: CASE WHEN length(x) <= {n} THEN [x] ELSE string_split(regexp_replace(x, '([.!?])[\s\pZ\x{{1c}}-\x{{1f}}\x{{85}}]+', '\1' || chr(1), 'g'), chr(1)) END)), lambda x: x <> '') AS p FROM documents),
+f AS (SELECT doc_id, p, 1 AS i, 0 AS k, p[1] AS held FROM p WHERE len(p) > 0 UNION ALL SELECT doc_id, p, i + 1, CASE WHEN length(held) + 1 + length(p[i + 1]) > {n} THEN k + 1 ELSE k END, CASE WHEN length(held) + 1 + length(p[i + 1]) > {n} THEN p[i + 1] ELSE held || ' ' || p[i + 1] END FROM f WHERE i < len(p))
+SELECT doc_id, k AS chunk_index, arg_max(held, i) AS text FROM f GROUP BY doc_id, k"""
 _ROLE = "CASE " + " ".join(f"WHEN regexp_matches({_FOLD % 'coalesce(title, chr(32))'}, '(?:^|[^a-z])(?:{w})(?:[^a-z]|$)') THEN '{r}'" for r, w in ROLES) + " ELSE 'other' END"
 _CH = lambda size, step: rf"w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents), k AS (SELECT doc_id, source, w, unnest(range(1 + CAST(greatest(ceil((len(w) - {size}) / {step}), 0) AS INT))) AS i FROM w WHERE len(w) > 0), c AS (SELECT doc_id, source, CAST(i AS INT) AS chunk_index, w[i * {step} + 1 : i * {step} + {size}] AS p FROM k)"
 _ENTS = f"list_distinct(regexp_extract_all(text, '{T.ENTITY}'))"
@@ -161,6 +165,8 @@ u AS (SELECT claim_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS n
     "t_entities": f"SELECT doc_id, array_to_string(list_sort({_ENTS}), '|') AS entities FROM documents",
     "t_gazetteer": rf"WITH u AS (SELECT {_FOLD % 'canonical_name'} AS name, 'entity' AS kind FROM canonical_entities UNION ALL SELECT {_FOLD % 's'}, 'document' FROM (SELECT regexp_replace(source, '\.[A-Za-z]+$', '') AS s FROM hits)) SELECT name, min(kind) AS kind, count(*) AS n FROM u WHERE name <> '' GROUP BY 1",
     "c_entity_clean": f"WITH d AS (SELECT doc_id, {_ENTS} AS f FROM documents), o AS (SELECT doc_id, list_filter(f, lambda x: len(list_filter(f, lambda y: x <> y AND contains(y, x))) = 0) AS o FROM d) SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(o, lambda x: {{'l': -length(x), 'x': x}}))[1:3], lambda s: s.x), '|') AS entities FROM o",
+    "t_chunk_sem": _FILL(1000),
+    "t_chunk_par": _FILL(4000),
     "c_intent": "SELECT doc_id, " + ", ".join(f"coalesce(regexp_matches({_FOLD % 'text'}, '{p}'), false) AS \"{n}\"" for n, p in T.INTENTS.items()) + " FROM documents",
     "c_ood": f"SELECT doc_id, coalesce(list_has_any({_WL}, {_L(T.FOREIGN)}) AND NOT list_has_any({_WL}, {_L(T.DOMAIN)}), false) AS ood FROM documents",
     "c_plan": f"SELECT doc_id, CASE WHEN regexp_matches({_FOLD % 'text'}, '{T.INTENTS['count']}') THEN 0.4::DOUBLE WHEN regexp_matches({_FOLD % 'text'}, '{T.INTENTS['procedure']}') THEN 0.5::DOUBLE WHEN regexp_matches({_FOLD % 'text'}, '{T.INTENTS['definition']}') THEN 0.7::DOUBLE ELSE 0.6::DOUBLE END AS weight FROM documents",

@@ -53,10 +53,20 @@ def cv_enrich(s, d):
     return L.follow_up(turns).select("event_id", "before", "change")
 
 
+def _backed(s, d):
+    """The first five passages of every search, cited as a context."""
+    five = ranked(HITS(s, d).where("text is not null and source is not null")).where(F.col("rank") <= 5)
+    line = F.concat(F.lit("[Doc "), F.col("rank"), F.lit(" - "), F.col("source"), F.lit(" p."), F.coalesce(F.col("page"), F.lit(0)), F.lit("] "), F.col("text"))
+    context = five.groupBy(*SEARCH).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("context"))
+    return context.select(*SEARCH, L.procedure_backed(F.col("context")).alias("backed"))
+
+
 QUERIES = {
     "e_factual_gate": lambda s, d: L.factual_gate(HITS(s, d), _questions(s, d)).select(*SEARCH, "type", "evidence", "passes"),
     "r_pool": lambda s, d: HITS(s, d).select("run_id", "query_id").distinct().join(small(_questions(s, d).select("query_id", L.pool_size(F.col("question")).alias("pool"))), "query_id").select("run_id", "query_id", "pool"),
     "c_filters": lambda s, d: DOCS(s, d).select("doc_id", L.technology(F.concat_ws(" ", "title", "text")).alias("technology")),
+    "p_cuts": lambda s, d: DOCS(s, d).select("doc_id", F.md5(L.condense(F.col("text"))).alias("condensed"), F.md5(L.cut_safely(F.col("text"))).alias("cut"), L.lists_steps(F.col("text")).alias("steps")),
+    "p_backed": _backed,
     "p_clean": lambda s, d: HITS(s, d).where("text is not null").select("hit_id", F.md5(L.clean_answer(F.col("text"))).alias("md5")),
     "t_glossary": t_glossary,
     "t_entity_expand": lambda s, d: L.entity_expansion(CLAIMS(s, d), ALIASES(s, d)),
@@ -90,6 +100,16 @@ SQL = {
     "e_factual_gate": f"WITH {_RANK}, q AS (SELECT item_id AS query_id, {_TYPE} AS type FROM eval_questions), x AS (SELECT run_id, h.query_id, type, {_HAS} AS has FROM h JOIN q ON h.query_id = q.query_id WHERE rank <= 5) SELECT run_id, query_id, type, count(*) FILTER (has) AS evidence, count(*) FILTER (has) > 0 AS passes FROM x GROUP BY ALL",
     "r_pool": f"WITH q AS (SELECT item_id AS query_id, {_FOLD % 'question'} AS f FROM eval_questions) SELECT DISTINCT run_id, h.query_id, CASE WHEN regexp_matches(f, 'list|cuales|which') THEN 20 WHEN regexp_matches(f, 'compar|versus|diferencia') THEN 15 WHEN len(string_split(f, ' ')) <= 8 THEN 10 ELSE 15 END AS pool FROM hits h JOIN q ON h.query_id = q.query_id",
     "c_filters": f"SELECT doc_id, {_TECH} AS technology FROM (SELECT doc_id, {_FOLD % 'c'} AS f FROM (SELECT doc_id, concat_ws(' ', title, text) AS c FROM documents))",
+    "p_cuts": r"""WITH d AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: trim(p, chr(32) || chr(9) || chr(13) || chr(10))), lambda p: p <> '') AS p, regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r') AS l, substring(coalesce(text, ''), 1, 1000) AS c FROM documents),
+n AS (SELECT *, coalesce(len(list_filter(range(1, len(p) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x) + 2)) <= 600)), 0) AS np, len(list_filter(range(1, len(l) + 1), lambda i: list_sum(list_transform(l[1:i], lambda x: length(x) + 1)) <= 1000)) AS nl,
+len(list_filter(l, lambda x: regexp_matches(x, '^\s*(?:[0-9]+\s*[.)-]|[-*•])\s+\S'))) >= 2 AS s, regexp_extract(c, '(?s)^(.*[.!?])', 1) AS e FROM d)
+SELECT doc_id, md5(CASE WHEN length(text) <= 600 THEN text WHEN np > 0 THEN array_to_string(p[1:np], chr(10) || chr(10)) ELSE substring(text, 1, 600) END) AS condensed,
+md5(CASE WHEN length(coalesce(text, '')) <= 1000 THEN coalesce(text, '') WHEN s AND nl > 0 AND rtrim(array_to_string(l[1:nl], chr(10))) <> '' THEN rtrim(array_to_string(l[1:nl], chr(10)))
+WHEN length(e) > 500 THEN trim(e, chr(32) || chr(9) || chr(13) || chr(10)) ELSE trim(c, chr(32) || chr(9) || chr(13) || chr(10)) || '…' END) AS cut,
+coalesce(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '^(?:[0-9]+[.)]|[-*•])\s+.{5,}'))) >= 2, false) AS steps FROM n""",
+    "p_backed": r"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY run_id, query_id ORDER BY CASE WHEN isnan(final_score) THEN NULL ELSE final_score END DESC NULLS LAST, hit_id) AS rank FROM hits WHERE text IS NOT NULL AND source IS NOT NULL),
+c AS (SELECT run_id, query_id, string_agg('[Doc ' || rank || ' - ' || source || ' p.' || coalesce(page, 0) || '] ' || text, chr(10) ORDER BY rank) AS context FROM h WHERE rank <= 5 GROUP BY ALL)
+SELECT run_id, query_id, len(list_distinct(regexp_extract_all(context, '\[Doc [0-9]+ - (.+?) p\.[0-9]+\]', 1))) >= 2 AND regexp_matches(lower(context), 'paso|step|procedimiento|procedure|instruccion|instrucción|protocolo|configurar|instalar|ejecutar') AS backed FROM c""",
     "p_clean": rf"WITH c AS (SELECT hit_id, list_transform(string_split(regexp_replace(regexp_replace(text, '{L.META}', '', 'g'), '\[Doc [0-9]+[^\]]*\]', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[\s\x{{1c}}-\x{{1f}}\x{{85}}\pZ]+', ' ', 'g'))) AS l FROM hits WHERE text IS NOT NULL) SELECT hit_id, md5(array_to_string(list_filter(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), lambda x: x <> ''), chr(10))) AS md5 FROM c",
     "t_glossary": f"WITH t AS (SELECT DISTINCT lower(t) AS term FROM (SELECT unnest(entity_types) AS t FROM entity_claims) WHERE t IS NOT NULL), w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{TOKEN}'))) AS term FROM documents), x AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY term) AS place FROM w JOIN t USING (term)) SELECT * FROM x WHERE place <= 10",
     "t_entity_expand": f"WITH p AS (SELECT {_name('canonical_name')} AS key, {_name('alias')} AS alias FROM alias_claims), n AS (SELECT DISTINCT {_name('canonical_name')} AS key FROM entity_claims), c AS (SELECT key, alias, count(*) AS claims FROM p WHERE key IS NOT NULL AND alias IS NOT NULL AND key <> alias AND key IN (SELECT key FROM n WHERE key IS NOT NULL) GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY claims DESC, alias) AS place FROM c) SELECT * FROM x WHERE place <= 3",
