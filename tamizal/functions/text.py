@@ -53,6 +53,16 @@ def doc_slug(filename: Column) -> Column:
     return F.concat(F.lit("doc:"), slug(F.regexp_replace(filename, r"\.[^.]*$", "")))
 
 
+def last_line(c: Column) -> tuple[Column, Column]:
+    """The last line that holds more than blanks, and the text before it; of a wholly blank text, its first line.
+
+    In time linear in the text: the pattern ``[^\\n]*\\s*$`` would be tried at every place of every line.
+    """
+    held = F.rtrim(c, F.lit(" \t\n\f\r"))
+    before = F.length(held) - F.length(F.substring_index(held, "\n", -1))
+    return F.substring_index(F.substr(c, before + 1), "\n", 1), F.left(c, before)
+
+
 # Fixed value: words with parts joined by '.', '/' or '-', or whole and decimal numbers. Possessive here, so that long runs need no stack.
 TOKEN = r"[a-zñáéíóúü]++(?:[./-]?[a-z0-9]++)*+|\d++(?:[.,]\d++)?+"
 

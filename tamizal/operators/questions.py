@@ -139,8 +139,8 @@ def factual_type(question: Column) -> Column:
 
 
 def subject_of(question: Column) -> Column:
-    """What a factual question is about: the first pattern that gives more than two characters, else null."""
-    found = [F.btrim(F.trim(F.regexp_extract(F.trim(question), "(?i)" + p, 1)), F.lit(".,;:?")) for p in SUBJECTS]
+    """What a factual question is about: the first pattern that gives more than two characters, else null. Only ``\\n`` ends a line (d)."""
+    found = [F.btrim(F.trim(F.regexp_extract(F.trim(question), "(?id)" + p, 1)), F.lit(".,;:?")) for p in SUBJECTS]
     return F.coalesce(*[F.when(F.length(x) > 2, x) for x in found])
 
 
@@ -151,11 +151,11 @@ def factual_verdict(question: Column, context: Column) -> Column:
     names, and half of the longer words of its subject, one at least.
     """
     context = F.coalesce(context, F.lit(""))
-    kind, c = factual_type(question), F.lower(context)
+    kind, q, c = factual_type(question), F.lower(question), F.lower(context)
     literal = F.lit(False)
-    for name, (_, evidence) in reversed(list(FACTS.items())):
-        literal = F.when(kind == name, c.rlike(evidence)).otherwise(literal)
-    rfc = F.regexp_extract(F.lower(question), r"(?:rfc|request for comments)\s*(\d{3,5})", 1)
+    for asks, evidence in reversed(list(FACTS.values())):
+        literal = F.when(q.rlike(asks), c.rlike(evidence)).otherwise(literal)
+    rfc = F.regexp_extract(q, r"(?:rfc|request for comments)\s*(\d{3,5})", 1)
     parts = F.filter(F.split(F.lower(subject_of(question)), r"\s+"), lambda w: F.length(w) > 2)
     held = F.size(F.filter(parts, lambda w: F.contains(c, w)))
     away = F.coalesce((F.size(parts) > 0) & (held < F.greatest(F.lit(1), F.floor(F.size(parts) / 2))), F.lit(False))
